@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.similar_vectors import similar_vectors
+
+    near = similar_vectors(table(spark, sf_dir, "vectors").select("id", "vector"), min_sim=0.85)
+    return near.select(F.least("id", "neighbor").alias("id_a"), F.greatest("id", "neighbor").alias("id_b")).distinct()
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every id divisible by 20, among all vectors, with deeper probing for far neighbours."""
+    from weftline.llm.similar_vectors import similar_vectors
+
+    v = table(spark, sf_dir, "vectors").select("id", "vector")
+    asked = v.where("conv(id, 16, 10) % 20 = 0")
+    return similar_vectors(v, asked, tables=3, insert_probes=1, query_probes=24)
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.split_oversized import latest_rows, split_oversized
 
