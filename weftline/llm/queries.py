@@ -25,6 +25,16 @@ def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(v, asked, tables=3, insert_probes=1, query_probes=24)
 
 
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.not_handwritten import not_handwritten
+
+    return not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_files(spark, sf_dir).where("kind is not null").select("path")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.split_oversized import latest_rows, split_oversized
 
