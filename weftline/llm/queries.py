@@ -46,6 +46,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
 
 
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.credentials import redact_credentials
+
+    return redact_credentials(table(spark, sf_dir, "chunks").select("id", "file_path", "content"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.credentials import scan_credentials
+
+    return scan_credentials(table(spark, sf_dir, "chunks")).select("id", "line_no").distinct()
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack
 
