@@ -214,9 +214,9 @@ def _rank_bucket(dim: int, k: int, min_sim: float | None):
             else:
                 r, c = np.nonzero(s > -2)
             exact = np.empty(len(r))
-            for j in range(0, len(r), 1 << 18):
-                a, b = q[r[j : j + (1 << 18)]], base[c[j : j + (1 << 18)]]
-                exact[j : j + (1 << 18)] = np.einsum("ij,ij->i", x[a], x[b])
+            for j in range(0, len(r), 1 << 15):
+                a, b = q[r[j : j + (1 << 15)]], base[c[j : j + (1 << 15)]]
+                exact[j : j + (1 << 15)] = np.einsum("ij,ij->i", x[a], x[b])
             norm = np.sqrt(np.einsum("ij,ij->i", x[q], x[q]))
             norm_b = np.sqrt(np.einsum("ij,ij->i", x[base], x[base])) if i == 0 else norm_b  # noqa: F821
             sim = np.round(exact / (norm[r] * norm_b[c]), 9)
