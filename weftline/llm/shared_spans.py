@@ -26,6 +26,7 @@ MIN_LEN = 200
 GRAM = 100
 SHARD_CONTEXTS = 6000
 HOT_CONTEXTS = 3000
+BLOCK_CHARS = 1 << 19
 
 _M = np.uint64(6364136223846793005)
 _INV = np.uint64(pow(int(_M), -1, 2**64))
@@ -57,8 +58,34 @@ def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def winnow(texts: list[str], min_len: int = MIN_LEN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, position, fingerprint) of the kept grams of all texts."""
+def winnow(texts: list[str], min_len: int = MIN_LEN, gram: int = GRAM, block: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, position, fingerprint) of the kept grams of all texts, in blocks of about ``block`` characters.
+
+    A longer text is cut into segments that overlap by ``min_len - 1``, so each of its runs lies within one.
+    """
+    docs, starts, parts, size, out = [], [], [], 0, []
+
+    def flush() -> None:
+        if parts:
+            d, p, f = _winnow_block(parts, min_len, gram)
+            out.append((np.array(docs, np.int64)[d], np.array(starts, np.int64)[d] + p, f))
+            docs.clear(), starts.clear(), parts.clear()
+
+    for i, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - min_len + 1), block):
+            part = text[start : start + block + min_len - 1]
+            docs.append(i), starts.append(start), parts.append(part)
+            size += len(part)
+            if size >= block:
+                flush()
+                size = 0
+    flush()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _winnow_block(texts: list[str], min_len: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lens)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
