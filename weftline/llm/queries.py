@@ -58,6 +58,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_credentials(table(spark, sf_dir, "chunks")).select("id", "line_no").distinct()
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.syntax_check import check_files
+
+    return check_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.syntax_check import rejection_rates
+
+    return rejection_rates(p5_files(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_files(spark, sf_dir).where("NOT valid").select("path")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack
 
