@@ -20,13 +20,12 @@ def contains_edges(chunks: DataFrame) -> DataFrame:
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
-    """(src, dst, relation): functions and methods whose text calls a symbol of the same file."""
+    """(src, dst, relation): functions and methods whose text calls a name that is a symbol of their repository (column ``repo``)."""
     callers = chunks.where("symbol_type IN ('function', 'method') AND symbol <> '' AND file_path IS NOT NULL")
-    called = callers.select("file_path", "symbol", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("name"))
-    names = chunks.where("symbol <> ''").select("file_path", F.col("symbol").alias("name")).distinct()
-    return called.join(names, ["file_path", "name"]).where("symbol <> name").select(
-        F.concat_ws("::", "file_path", "symbol").alias("src"), F.concat_ws("::", "file_path", "name").alias("dst"), F.lit("calls").alias("relation")
-    ).distinct()
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
+    called = callers.select("repo", F.concat_ws("::", "file_path", "symbol").alias("src"), "symbol", F.explode(names).alias("name"))
+    defined = chunks.where("symbol <> '' AND file_path IS NOT NULL").select("repo", F.col("symbol").alias("name"), F.concat_ws("::", "file_path", "symbol").alias("dst")).distinct()
+    return called.join(defined, ["repo", "name"]).where("symbol <> name").select("src", "dst", F.lit("calls").alias("relation")).distinct()
 
 
 def all_edges(chunks: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ NODES = """n AS (SELECT concat_ws('::', file_path, symbol) AS node, symbol AS na
   FROM c WHERE symbol <> '' AND file_path IS NOT NULL) WHERE rn = 1)"""
 EDGES = r"""e AS (SELECT src, dst, min(relation) AS relation FROM (
   SELECT concat_ws('::', file_path, parent) AS src, concat_ws('::', file_path, symbol) AS dst, 'contains' AS relation FROM c WHERE parent <> '' AND symbol <> '' AND file_path IS NOT NULL
-  UNION ALL SELECT concat_ws('::', file_path, symbol), concat_ws('::', file_path, name), 'calls' FROM (SELECT DISTINCT file_path, symbol, unnest(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM c WHERE symbol_type IN ('function', 'method') AND symbol <> '' AND file_path IS NOT NULL)
-    JOIN (SELECT DISTINCT file_path, symbol AS name FROM c WHERE symbol <> '') USING (file_path, name) WHERE symbol <> name) GROUP BY src, dst)"""
+  UNION ALL SELECT concat_ws('::', a.file_path, a.symbol), concat_ws('::', b.file_path, b.name), 'calls' FROM (SELECT DISTINCT repo, file_path, symbol, unnest(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM c WHERE symbol_type IN ('function', 'method') AND symbol <> '' AND file_path IS NOT NULL) a
+    JOIN (SELECT DISTINCT repo, file_path, symbol AS name FROM c WHERE symbol <> '' AND file_path IS NOT NULL) b USING (repo, name) WHERE a.symbol <> name) GROUP BY src, dst)"""
 GRAPH = f"WITH {C}, {NODES}, {EDGES}"
 
 
@@ -160,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "postings_terms": f"WITH {C} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tok('content')}) AS term FROM c) GROUP BY ALL) GROUP BY term",
     "bm25_search": f"{SEARCH} {top('bm', 10)}",
     "index_maintenance": f"""WITH {F}, {DIFF}, {C} SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS n_words, round(avg(dl), 6) AS avgdl FROM (SELECT len({tok("coalesce(content, '')")}) AS dl FROM c WHERE file_path IS NULL OR file_path NOT IN (SELECT path FROM diff WHERE status IN ('deleted', 'modified')))""",
-    "grep_lines": f"WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c)) SELECT id, file_path, CAST(i AS INTEGER) AS line_no, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM x WHERE regexp_matches(parts[i], 'TODO|FIXME|XXX')",
+    "grep_lines": f"WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c)) SELECT id, file_path, CAST(i AS INTEGER) AS line_no, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM x WHERE regexp_matches(parts[i], 'raise ValueError|console\.log|log\.Printf')",
     "grep_ignore_case": f"""WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c WHERE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ('py', 'go')))
       SELECT id, file_path, CAST(i AS INTEGER) AS line_no, line FROM (SELECT *, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY file_path ORDER BY i, id) AS rn FROM x WHERE regexp_matches(parts[i], '(?i)error|warn')) WHERE rn <= 5""",
     "grep_all_tokens": f"WITH {C}, {Q}, {GR}) SELECT qid, id, CAST(1 AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM hits",
@@ -192,8 +192,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT name, node, caller FROM (SELECT p.name, p.node, e.src AS caller, row_number() OVER (PARTITION BY p.name, p.node ORDER BY e.src) AS m FROM p JOIN e ON e.dst = p.node AND e.relation IN ('calls', 'references')) WHERE m <= 15""",
     "get_dependencies": f"""{GRAPH}, {Q}, r AS (SELECT min(node) AS node FROM n WHERE name IN (SELECT text FROM q) GROUP BY name), x AS (SELECT *, 'descendant' AS direction FROM {reach('r')} UNION ALL SELECT *, 'ancestor' FROM {reach('r', True)})
       SELECT source, node, hops, direction FROM (SELECT *, row_number() OVER (PARTITION BY source, direction ORDER BY node) AS rn FROM x) WHERE rn <= 15""",
-    "graph_expand": f"""{FULL}, {NODES}, {EDGES}, h AS (SELECT b.qid, concat_ws('::', c.file_path, b.symbol) AS node, b.rank FROM {best(5)} b JOIN c USING (id) WHERE b.symbol <> ''), s AS (SELECT DISTINCT node FROM h),
-      near AS (SELECT * FROM {reach('s')} UNION ALL SELECT * FROM {reach('s', True)}), r AS (SELECT qid, node, rank AS place FROM h UNION ALL SELECT h.qid, near.node, 1000 * hops + h.rank FROM h JOIN near ON near.source = h.node),
+    "graph_expand": f"""{FULL}, {NODES}, {EDGES}, h AS (SELECT b.qid, concat_ws('::', c.file_path, b.symbol) AS node, b.rank FROM {best(5)} b JOIN c USING (id) WHERE b.symbol <> ''), st AS (SELECT DISTINCT node FROM h),
+      near AS (SELECT * FROM {reach('st')} UNION ALL SELECT * FROM {reach('st', True)}), r AS (SELECT qid, node, rank AS place FROM h UNION ALL SELECT h.qid, near.node, 1000 * hops + h.rank FROM h JOIN near ON near.source = h.node),
       p AS (SELECT qid, node, min(place) AS place FROM r GROUP BY ALL) SELECT qid, node, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, node) AS rank FROM p) WHERE rank <= 15""",
     "turns": f"WITH {M}, {T} SELECT conv_id, turn, turn_no FROM t",
     "compact_history": f"""WITH {M}, {T}, x AS (SELECT *, floor(sum(ch + ar) OVER (PARTITION BY conv_id) / 4) AS total, floor(sum(CASE WHEN type = 'system' THEN ch ELSE 0 END) OVER (PARTITION BY conv_id) / 4) AS sy FROM t),

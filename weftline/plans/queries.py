@@ -264,7 +264,7 @@ def index_maintenance(s, d):
 
 @query
 def grep_lines(s, d):
-    return scan.grep_lines(_chunks(s, d), r"TODO|FIXME|XXX")
+    return scan.grep_lines(_chunks(s, d), r"raise ValueError|console\.log|log\.Printf")
 
 
 @query
@@ -668,7 +668,8 @@ def sanitize_documents(s, d):
 def event_sessions(s, d):
     """Visits of each user: a gap of over thirty minutes starts the next."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by))
+    at = F.col("ts").cast("timestamp")
+    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(by))
     marked = table(s, d, "events").withColumn("_new", F.when(gap <= 30 * 60 * 1_000_000, 0).otherwise(1))
     numbered = marked.withColumn("visit", F.sum("_new").over(by).cast("int"))
     return numbered.groupBy("user_id", "visit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
