@@ -100,7 +100,7 @@ def replace_first(text: Column, old: str, new: str, count: int = 1) -> Column:
         return F.replace(text, F.lit(old), F.lit(new))
     parts = F.split(text, re.escape(old))
     head = F.slice(parts, 1, count + 1)
-    return F.when(F.size(parts) <= count + 1, F.array_join(parts, new)).otherwise(
+    return F.when(text.isNull(), None).when(F.size(parts) <= count + 1, F.array_join(parts, new)).otherwise(
         F.concat_ws(old, F.array_join(head, new), F.array_join(F.slice(parts, count + 2, 2**31 - 1), old))
     )
 

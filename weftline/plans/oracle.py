@@ -160,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "postings_terms": f"WITH {C} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tok('content')}) AS term FROM c) GROUP BY ALL) GROUP BY term",
     "bm25_search": f"{SEARCH} {top('bm', 10)}",
     "index_maintenance": f"""WITH {F}, {DIFF}, {C} SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS n_words, round(avg(dl), 6) AS avgdl FROM (SELECT len({tok("coalesce(content, '')")}) AS dl FROM c WHERE file_path IS NULL OR file_path NOT IN (SELECT path FROM diff WHERE status IN ('deleted', 'modified')))""",
-    "grep_lines": f"WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c)) SELECT id, file_path, CAST(i AS INTEGER) AS line_no, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM x WHERE regexp_matches(parts[i], 'raise ValueError|console\.log|log\.Printf')",
+    "grep_lines": f"WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c)) SELECT id, file_path, CAST(i AS INTEGER) AS line_no, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM x WHERE regexp_matches(parts[i], 'raise ValueError|console[.]log|log[.]Printf')",
     "grep_ignore_case": f"""WITH {C}, x AS (SELECT id, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, file_path, string_split(content, chr(10)) AS parts FROM c WHERE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ('py', 'go')))
       SELECT id, file_path, CAST(i AS INTEGER) AS line_no, line FROM (SELECT *, rtrim(parts[i], ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY file_path ORDER BY i, id) AS rn FROM x WHERE regexp_matches(parts[i], '(?i)error|warn')) WHERE rn <= 5""",
     "grep_all_tokens": f"WITH {C}, {Q}, {GR}) SELECT qid, id, CAST(1 AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM hits",
@@ -228,5 +228,5 @@ ORACLE_SQL: dict[str, str] = {
     "redact_simple": f"WITH {C}, x AS (SELECT id, content, {redacted('content')} AS r FROM c WHERE content IS NOT NULL) SELECT id, md5(r) AS digest, r <> content AS changed FROM x",
     "event_sessions": """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS nw FROM events),
       y AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS visit FROM x) SELECT user_id, visit, count(*) AS n, round(sum(value), 4) AS value FROM y GROUP BY user_id, visit""",
-    "event_rollup": "SELECT event_type, day, count(*) AS n, round(avg(value), 4) AS mean FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY ROLLUP (event_type, day)",
+    "event_rollup": "SELECT event_type, day, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY ROLLUP (event_type, day)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import text as T
 from weftline.operators import catalog, chunking, context, dense, evaluation, fusion, graph, history, incremental, lexical, memory, scan
-from weftline.session import table
+from weftline.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,7 +264,7 @@ def index_maintenance(s, d):
 
 @query
 def grep_lines(s, d):
-    return scan.grep_lines(_chunks(s, d), r"raise ValueError|console\.log|log\.Printf")
+    return scan.grep_lines(_chunks(s, d), r"raise ValueError|console[.]log|log[.]Printf")
 
 
 @query
@@ -481,7 +481,7 @@ def graph_expand(s, d):
     """Hits of each query with their graph neighbours within two steps, each once, the hits first, 15 in all."""
     c = _chunks(s, d)
     hits = fusion.best_per_symbol(_boosted(s, d), 5).join(c.select("id", "file_path"), "id").where("symbol <> ''")
-    base = hits.select("qid", F.concat_ws("::", "file_path", "symbol").alias("node"), "rank")
+    base = cut_lineage(hits.select("qid", F.concat_ws("::", "file_path", "symbol").alias("node"), "rank"))
     e = graph.all_edges(c)
     src = base.select("node").distinct()
     near = graph.reach(src, e, 2).unionByName(graph.reach(src, e, 2, reverse=True)).withColumnRenamed("node", "other").withColumnRenamed("source", "node")
@@ -678,4 +678,4 @@ def event_sessions(s, d):
 @query
 def event_rollup(s, d):
     e = table(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
