@@ -48,9 +48,9 @@ asg = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '|=' | '^=
 operator = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '>' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
 unary = ( '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' )* postfix ( '++' | '--' )? cast*
 postfix = primary suffix* | 'new' '.' NAME suffix*
-suffix = '.' NAME | '?.' ( NAME | P{args} | K{expr} ) | P{args} | K{expr} | template
+suffix = '.' ( NAME | PRIVATE ) | '?.' ( NAME | PRIVATE | P{args} | K{expr} ) | P{args} | K{expr} | template
 template = TPL T{expr}*
-primary = ID | NUM | STR | REGEX | template | P{expr} | K{elements} | B{object} | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' newtarget | 'import' importmeta
+primary = ID | NUM | STR | REGEX | PRIVATE | template | P{expr} | K{elements} | B{object} | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' newtarget | 'import' importmeta
   | 'async'? 'function' '*'? ID? typeparams? P{params} annotation? B{body} | 'class' ID? typeparams? heritage B{classbody}
 newtarget = primary ( '.' NAME | K{expr} )* typeargs? P{args}?
 arrow = 'async'? ( ID | typeparams? P{params} annotation? ) '=>' ( B{body} | assign )
@@ -252,17 +252,26 @@ braces = ( pair ( ',' pair )* ','? | test ':' test comprehension | items | item
 pair = test ':' test | '**' orexpr
 subscript = slice ( ',' slice )* ','?
 slice = test? ':' test? ( ':' test? )? | '*' orexpr | namedtest
-args = ( arg ( ',' arg )* ','? | namedtest comprehension )?
-arg = namedtest | ID '=' test | '*' test | '**' test
-params = ( param ( ',' param )* ','? )?
-param = ID ( ':' ( test | '*' orexpr ) )? ( '=' test )? | '*' ( ID ( ':' ( test | '*' orexpr ) )? )? | '**' ID ( ':' test )? | '/'
-lparams = lparam ( ',' lparam )* ','?
-lparam = ID ( '=' test )? | '*' ID? | '**' ID | '/'
+args = ( positional ( ',' named )? ','? | named ','? | namedtest comprehension )?
+positional = posarg ( ',' posarg )*
+posarg = namedtest | '*' test
+named = keyarg ( ',' keyarg )* ( ',' lastarg )* | '**' test ( ',' lastarg )*
+keyarg = ID '=' test | '*' test
+lastarg = ID '=' test | '**' test
+params = ( plain ( ',' defaults )? ( ',' starred_params )? ','? | defaults ( ',' starred_params )? ','? | starred_params ','? )?
+plain = ( bare | '/' ) ( ',' ( bare | '/' ) )*
+defaults = bare '=' test ( ',' ( bare '=' test | '/' ) )*
+bare = ID ( ':' test )?
+starred_params = '*' ( ID ( ':' ( test | '*' orexpr ) )? )? ( ',' bare ( '=' test )? )* ( ',' '**' bare )? | '**' bare
+lparams = lplain ( ',' ldefaults )? ( ',' lstarred )? ','? | ldefaults ( ',' lstarred )? ','? | lstarred ','?
+lplain = ( ID | '/' ) ( ',' ( ID | '/' ) )*
+ldefaults = ID '=' test ( ',' ( ID '=' test | '/' ) )*
+lstarred = '*' ID? ( ',' ID ( '=' test )? )* ( ',' '**' ID )? | '**' ID
 tparams = K{tparamlist}
 tparamlist = tparam ( ',' tparam )* ','?
 tparam = ( '*' | '**' )? ID ( ':' test )? ( '=' test )?
 withitems = withitem ( ',' withitem )*
-withitem = test ( 'as' onetarget )?
+withitem = test ( 'as' target )?
 withparen = withitem ( ',' withitem )* ','?
 if_h = 'if' namedtest ':'
 elif_h = 'elif' namedtest ':'
@@ -273,7 +282,7 @@ try_h = 'try' ':'
 except_h = 'except' '*'? ( test ( ',' test )* ( 'as' ID )? )? ':'
 finally_h = 'finally' ':'
 with_h = 'async'? 'with' ( withitems | P{withparen} ) ':'
-def_h = 'async'? 'def' ID tparams? P{params} ( '->' exprs )? ':'
+def_h = 'async'? 'def' ID tparams? P{params} ( '->' test )? ':'
 class_h = 'class' ID tparams? P{args}? ':'
 match_h = 'match' exprs ':'
 case_h = 'case' patterns ( 'if' namedtest )? ':'
@@ -319,8 +328,8 @@ BAD = 0
 class Language:
     """A grammar with its lexer. ``tokens`` maps a token's text to its mask (negative: a bracket, 0: not a token)."""
 
-    def __init__(self, grammar: Grammar, lists: dict[str, str], words: frozenset, kinds: dict[str, str]):
-        self.g, self.rec, self.words, self.kinds = grammar, Recognizer(grammar, lists), words, kinds
+    def __init__(self, grammar: Grammar, lists: dict[str, str], words: frozenset, kinds: dict[str, str], letters: str = "_$"):
+        self.g, self.rec, self.words, self.kinds, self.letters = grammar, Recognizer(grammar, lists), words, kinds, letters
         self.masks: dict[str, int] = {}
 
     def mask(self, token: str) -> int:
@@ -345,7 +354,7 @@ class Language:
             kind = next((k for first, k in self.kinds.items() if token[-1] in first), None)
             return bits.get(kind, 0) if len(token) > 1 and kind else BAD
         if c.isalpha() or c in "_$" or ord(c) > 127:
-            if not re.fullmatch(r"[^\W\d]\w*|[\w$]+", token):
+            if "$" in token and "$" not in self.letters or not re.fullmatch(r"[^\W\d]\w*|[\w$]+", token):
                 return BAD
             got |= bits.get("NAME", 0)
             if token in self.words:
@@ -413,7 +422,11 @@ _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*
 _GO_TOKEN = re.compile(rf"(?:[ \t\r]+|//[^\n]*|/\*[^\n]*?\*/)*(\n|{_BLOCK}|{_ID}|{_NUMBER}i?(?!\w)|{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'|>>=|>>|{_OPS_RE}|[\s\S]|\Z)")
 _JAVA_TOKEN = re.compile(rf'(?:\s+|//[^\n]*|{_BLOCK})*({_ID}|(?:{_NUMBER}|0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+)[lLfFdD]?(?!\w)|"""[ \t\f\r]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_DQ}|' + r"'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'" + rf"|{_OPS_RE}|[\s\S]|\Z)")
 _JSON_TOKEN = re.compile(r'[ \t\r\n]*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[{}\[\]:,]|true\b|false\b|null\b|NaN\b|-?Infinity\b|[\s\S]|\Z)')
-_PY_STRING = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'(?:[^'\\\n]|\\[\s\S])*'(?!'')|\"(?:[^\"\\\n]|\\[\s\S])*\"(?!\"\"))"
+_PY_FIELD = r"\{(?:[^{}\"']|\"[^\"\n{}]*\"|'[^'\n{}]*')*\}"  # may hold line ends and any quotes
+_PY_STRING = (
+    r"(?:(?:[fF]|[rR][fF]|[fF][rR])(?:(?!\"\"\")\"(?:[^\"\\\n{]|\\[\s\S]|" + _PY_FIELD + r"|\{)*\"|(?!''')'(?:[^'\\\n{]|\\[\s\S]|" + _PY_FIELD + r"|\{)*')"
+    r"|(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'(?:[^'\\\n]|\\[\s\S])+'|''(?!')|\"(?:[^\"\\\n]|\\[\s\S])+\"|\"\"(?!\")))"
+)
 _PY_NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_.eEjJ])|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?(?<!\b0\d)[jJ]?))(?![\w])"
 _PY_OPS = "|".join(re.escape(o) for o in sorted("**= //= >>= <<= ... := -> ** // >> << <= >= == != += -= *= /= %= &= |= ^= @= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; =".split(), key=len, reverse=True))
 _PY_TOKEN = re.compile(rf"(?:[ \t\f]+|\\\r?\n|#[^\n]*|\r(?=\n))*(\n[ \t\f]*|{_PY_STRING}|[^\W\d]\w*|{_PY_NUMBER}|{_PY_OPS}|[\s\S]|\Z)")
@@ -529,10 +542,68 @@ class _Python(Language):
     """Two grammars: one for logical lines, one for the order of lines in a block."""
 
     def __init__(self):
-        super().__init__(Grammar(_PY_LINE), {}, _WORDS_PY, {"0123456789.": "NUM", "'\"": "STR"})
+        super().__init__(Grammar(_PY_LINE), {}, _WORDS_PY, {"0123456789.": "NUM", "'\"": "STR"}, "_")
         self.blocks = Recognizer(Grammar(_PY_BLOCK), {"block": "stmt", "caseblock": "casestmt"})
         self.lines: dict[tuple, list] = {}
-        self.after_number = frozenset("if or and in is else for not".split())
+
+    def _mask(self, token: str) -> int:
+        if token[-1] in "'\"" and len(token) > 1:
+            at = next(i for i, c in enumerate(token) if c in "'\"")
+            if "f" in token[:at].lower():
+                quote = 3 if token[at : at + 3] in ("\'\'\'", '"""') else 1
+                return self.g.bits["STR"] if self._fields(token[at + quote : -quote], 0, False) == len(token) - at - 2 * quote else BAD
+            return self.g.bits["STR"]
+        return super()._mask(token)
+
+    def _fields(self, text: str, at: int, spec: bool) -> int:
+        """Where the literal or format spec ends (-1: a replacement field is not valid)."""
+        while at < len(text):
+            c = text[at]
+            if c == "}":
+                if spec:
+                    return at
+                if text[at : at + 2] != "}}":
+                    return -1
+                at += 2
+            elif c == "{" and text[at : at + 2] == "{{" and not spec:
+                at += 2
+            elif c == "{":
+                end, depth, quote = at + 1, 0, ""
+                while end < len(text):
+                    x = text[end]
+                    if quote:
+                        quote = "" if x == quote else quote
+                    elif x in "'\"":
+                        quote = x
+                    elif x in "([{":
+                        depth += 1
+                    elif depth and x in ")]}":
+                        depth -= 1
+                    elif not depth and (x in "})]:" or x == "!" and text[end + 1 : end + 2] != "="):
+                        break
+                    end += 1
+                body = text[at + 1 : end].strip()
+                if body.endswith("=") and body[-2:-1] not in ("=", "!", "<", ">", ":"):
+                    body = body[:-1]
+                toks = [t for t in _tokens(_PY_TOKEN, body) if t[0] != "\n"]
+                try:
+                    masks = [self.mask(t) for t in toks]
+                    if not masks or not self.check("paren", self.fold(masks)):
+                        return -1
+                except Invalid:
+                    return -1
+                if text[end : end + 1] == "!":
+                    if text[end + 1 : end + 2] not in ("r", "s", "a"):
+                        return -1
+                    end += 2
+                if text[end : end + 1] == ":":
+                    end = self._fields(text, end + 1, True)
+                if end < 0 or text[end : end + 1] != "}":
+                    return -1
+                at = end + 1
+            else:
+                at += 1
+        return -1 if spec else at
 
     def line(self, toks: list[int]) -> tuple[str | None, bool]:
         """(kind, whole): what a folded logical line is, and whether a header has its suite on the line."""
@@ -647,7 +718,7 @@ def _build(suffix: str) -> tuple:
     if suffix == "py":
         return _Python(), _check_python
     if suffix == "go":
-        lang = Language(Grammar(_GO + "\nbody = NEVER\ncases = NEVER\n"), {"program": "item", "body": "bodyitem", "cases": "caseitem"}, _WORDS_GO, {"0123456789.": "NUM", '"`': "STR", "'": "CHR"})
+        lang = Language(Grammar(_GO + "\nbody = NEVER\ncases = NEVER\n"), {"program": "item", "body": "bodyitem", "cases": "caseitem"}, _WORDS_GO, {"0123456789.": "NUM", '"`': "STR", "'": "CHR"}, "_")
         b = lang.g.bits
         lang.can_end = b["ID"] | b["NUM"] | b["STR"] | b["CHR"]
         for w in ("break", "continue", "fallthrough", "return", "++", "--"):

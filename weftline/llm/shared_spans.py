@@ -370,7 +370,8 @@ def shared_spans(docs: DataFrame, *, min_len: int = MIN_LEN, gram: int = GRAM) -
     contexts = cut_lineage(contexts.join(hot, "fp", "left"))
     shards = max(1, -(-n // SHARD_CONTEXTS))
     cold = contexts.where("hot is null").withColumn("shard", F.pmod(F.hash("fp"), F.lit(shards)))
-    spans = cold.select("shard", "doc_id", "start", "context").groupBy("shard").applyInPandas(_shard(min_len), _SPANS)
+    # a fixed number of partitions: by size alone the shards, small but slow, would end up in a few tasks
+    spans = cold.select("shard", "doc_id", "start", "context").repartition(shards, "shard").groupBy("shard").applyInPandas(_shard(min_len), _SPANS)
     return cut_lineage(spans.unionByName(_hot_spans(contexts.where("hot"), min_len)).distinct()), classes
 
 
