@@ -9,9 +9,9 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from weftline.functions import text as T
-from weftline.operators import chunking, context, evaluation, fusion, graph, history, incremental, lexical, memory, scan
-from weftline.sources import files
+from weftline.functions import diff, text as T
+from weftline.operators import chunking, context, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.sources import files, reports
 from weftline.streaming import streams
 from tests.conftest import SF
 
@@ -200,3 +200,31 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("getUserName(x1)", "a/b.PY", 2048)], "t string, p string, n long")
     r = df.select(T.code_tokens(F.col("t")), T.language_of(F.col("p")), T.human_size(F.col("n")), T.token_estimate(F.col("t"))).first()
     assert (list(r[0]), r[1], r[2], r[3]) == (["get", "user", "name", "x1"], "python", "2KB", 3)
+
+
+def test_rerank_and_roles(spark):
+    df = spark.createDataFrame([("q", "a", "load user", "x", 1), ("q", "b", "load user", "def load_user(): pass", 2)], "qid string, id string, text string, content string, rank int")
+    assert [r["id"] for r in expansion.rerank(df, expansion.word_overlap, 1).collect()] == ["b"]
+    assert [r["id"] for r in expansion.rerank(df, None, 1).collect()] == ["a"]
+    tasks = spark.createDataFrame([("explain how does this work",), ("run tests with pytest",), ("implement and add it",), ("review the audit",), ("why is it failing with a traceback",), ("hello",), (None,)], "t string")
+    assert [r[0] for r in tasks.select(expansion.assign_role(F.col("t"))).collect()] == ["researcher", "tester", "coder", "reviewer", "debugger", None, None]
+
+
+def test_states_and_plans(spark):
+    r = spark.sql("SELECT map('a', array('1'), 'b', array('2')) x, map('a', array('3'), 'c', array('4')) y").select(expansion.merge_states(F.col("x"), F.col("y")).alias("m")).first()
+    assert r["m"] == {"a": ["1", "3"], "b": ["2"], "c": ["4"]}
+    df = spark.createDataFrame([('Plan:\n```json\n[{"title": "A", "priority": 1}, {"title": "B", "depends_on": ["A"]}]\n```',), ("no plan",), (None,)], "t string")
+    got = [r[0] for r in df.select(expansion.plan_items(F.col("t"))).collect()]
+    assert [x["title"] for x in got[0]] == ["A", "B"] and got[1:] == [None, None]
+
+
+def test_line_diff(spark):
+    df = spark.createDataFrame([("a\nb", "a\nb\nc"), ("a", "b"), ("x", "x"), (None, ""), ("\n".join(map(str, range(50))), "\n".join(["z", *map(str, range(1, 49)), "y"]))], "a string, b string")
+    got = [r[0] for r in df.select(diff.line_diff(F.col("a"), F.col("b"))).collect()]
+    assert [(g["added"], g["removed"]) for g in got] == [(1, 0), (1, 1), (0, 0), (0, 0), (2, 2)]
+    assert got[2]["lines"] == [] and got[4]["lines"].count("...") == 1 and sum(x.startswith(" ") for x in got[4]["lines"]) == 6
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "s string, n int")
+    assert reports.markdown(df, ["s"]).first()[0] == "| s | n |\n|---|---|\n| a | 1 |\n| b | 2 |"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.operators.expansion import RETRIEVAL_TOOLS, ROLE_WORDS
 from weftline.operators.scan import IGNORED, INJECTION_PATTERNS, SECRET_PATTERNS
 
 C = "c AS (SELECT DISTINCT id, file_path, content, start_line, end_line, symbol, symbol_type, parent, repo FROM chunks WHERE id IS NOT NULL)"
@@ -230,3 +231,20 @@ ORACLE_SQL: dict[str, str] = {
       y AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS visit FROM x) SELECT user_id, visit, count(*) AS n, round(sum(value), 4) AS value FROM y GROUP BY user_id, visit""",
     "event_rollup": "SELECT event_type, day, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY ROLLUP (event_type, day)",
 }
+
+_ROLE = {role: " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in words_) for role, words_ in ROLE_WORDS.items()}
+_RUNS = f"""WITH {M}, x AS (SELECT conv_id, count(*) AS tc, count(DISTINCT CASE WHEN c.name IN ({", ".join(f"'{t}'" for t in RETRIEVAL_TOOLS)}) THEN c.name END) AS rt FROM (SELECT conv_id, unnest(tool_calls) AS c FROM m) GROUP BY conv_id),
+  r AS (SELECT conv_id, count(*) FILTER (type = 'assistant') AS iterations, CAST(floor(sum({CH}) / 4) AS BIGINT) AS tokens, coalesce(any_value(tc), 0) AS tool_calls, coalesce(any_value(rt), 0) AS retrieval_tools, arg_max(type, turn) <> 'error' AS success FROM m LEFT JOIN x USING (conv_id) GROUP BY conv_id)"""
+ORACLE_SQL |= {
+    "expand_context": f"""{FULL}, h AS (SELECT b.qid, b.id, c.parent FROM {best(10)} b JOIN c USING (id)), pq AS (SELECT DISTINCT parent, unnest({tok("parent")}) AS term, generate_subscripts({tok("parent")}, 1) AS i FROM (SELECT DISTINCT parent FROM h WHERE parent <> '')),
+      pt AS (SELECT parent, term, count(*) AS n FROM pq GROUP BY ALL), ptf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM pt) GROUP BY id, term), pdf AS (SELECT term, count(*) AS df FROM ptf GROUP BY term),
+      ps AS (SELECT parent, id, round(sum(pt.n * ln((s.n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / s.a))), 6) AS score FROM pt JOIN pdf USING (term) JOIN ptf USING (term), s GROUP BY parent, id),
+      pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, id) AS rank FROM ps) WHERE rank <= 3 AND score > 0.1),
+      y AS (SELECT h.qid, h.id AS base_id, pr.id, pr.score, row_number() OVER (PARTITION BY h.qid, h.id ORDER BY pr.rank) AS rn FROM h JOIN pr USING (parent) WHERE NOT EXISTS (SELECT 1 FROM h AS k WHERE k.qid = h.qid AND k.id = pr.id))
+      SELECT qid, base_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY base_id) AS m FROM y WHERE rn = 1) WHERE m = 1""",
+    "rerank_overlap": f"""{SEARCH}, b AS ({top("bm", 20)}), z AS (SELECT b.qid, b.id, list_distinct({tok("q.text")}) AS a, {tok("substr(coalesce(c.content, ''), 1, 2000)")} AS t FROM b JOIN q USING (qid) JOIN c USING (id)),
+      r AS (SELECT qid, id, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(t, x))) / len(a) ELSE 0 END, 6) AS score FROM z) {top("r", 5)}""",
+    "role_assign": f"WITH {M}, x AS (SELECT conv_id, turn, {', '.join(f'{e} AS {r}' for r, e in _ROLE.items())} FROM m WHERE type = 'user' AND content IS NOT NULL) SELECT conv_id, turn, CASE WHEN greatest({', '.join(_ROLE)}) = 0 THEN NULL {' '.join(f"WHEN {r} = greatest({', '.join(_ROLE)}) THEN '{r}'" for r in _ROLE)} END AS role FROM x",
+    "agent_runs": f"{_RUNS} SELECT * FROM r",
+    "agent_benchmark": f"{_RUNS} SELECT count(*) AS n, coalesce(round(avg(CAST(success AS INTEGER)), 4), 0.0) AS success_rate, coalesce(round(avg(iterations), 4), 0.0) AS mean_iterations, coalesce(round(avg(tokens), 4), 0.0) AS mean_tokens, coalesce(round(avg(tool_calls), 4), 0.0) AS mean_tool_calls, coalesce(round(avg(retrieval_tools), 4), 0.0) AS mean_retrieval_tools FROM r",
+}

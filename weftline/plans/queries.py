@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import text as T
-from weftline.operators import catalog, chunking, context, dense, evaluation, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.operators import catalog, chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
 from weftline.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,3 +679,41 @@ def event_sessions(s, d):
 def event_rollup(s, d):
     e = table(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+# --- expansion and agent runs ---------------------------------------------------------------------------------------------------
+
+
+@query
+def expand_context(s, d):
+    hits = cut_lineage(fusion.best_per_symbol(_boosted(s, d), 10).select("qid", "id"))
+    return expansion.expand_by_parent(hits.join(_chunks(s, d).select("id", "parent"), "id"), _texts(s, d))
+
+
+@query
+def rerank_overlap(s, d):
+    hits = _bm25(s, d, 20).join(_eval_queries(s, d), "qid").join(_chunks(s, d).select("id", F.coalesce("content", F.lit("")).alias("content")), "id")
+    return expansion.rerank(hits, expansion.word_overlap, 5).select("qid", "id", "score", "rank")
+
+
+@query
+def role_assign(s, d):
+    m = _messages(s, d).where("type = 'user' AND content IS NOT NULL")
+    return m.select("conv_id", "turn", expansion.assign_role(F.col("content")).alias("role"))
+
+
+@query
+def agent_runs(s, d):
+    return expansion.agent_runs(_messages(s, d))
+
+
+@query
+def agent_benchmark(s, d):
+    return expansion.run_summary(expansion.agent_runs(_messages(s, d)))
+
+
+@query
+def benchmark_report(s, d):
+    from weftline.sources.reports import markdown
+
+    return markdown(evaluation.strategy_metrics(_metrics(s, d)), ["strategy"])
