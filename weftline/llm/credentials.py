@@ -92,7 +92,7 @@ def secret_value(value: str) -> bool:
         return False
     digit, upper, lower = any(c.isdigit() for c in v), any(c.isupper() for c in v), any(c.islower() for c in v)
     special = any(not c.isalnum() and c not in "_-./:" for c in v)
-    return digit or (special and (upper or lower)) or (upper and lower and len(v) >= 16 and not re.fullmatch(r"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*", v))
+    return digit or (special and (upper or lower)) or (upper and lower and len(v) >= 10 and not re.fullmatch(r"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*", v))
 
 
 # --- configuration formats -------------------------------------------------
