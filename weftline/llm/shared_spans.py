@@ -140,7 +140,7 @@ class FMIndex:
             second = np.zeros(n, np.int64)
             second[: n - step] = rank[step:] + 1
             key = rank * (n + 1) + second
-            sa = np.argsort(key, kind="stable")
+            sa = np.argsort(key)
             s = key[sa]
             rank = np.zeros(n, np.int64)
             rank[sa] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
@@ -150,15 +150,16 @@ class FMIndex:
             ranks.append(rank.astype(np.int32))
         self.sa = sa
         lcp = np.zeros(n, np.int32)
-        i, j = sa[:-1].copy(), sa[1:].copy()
+        i, j = sa[:-1].astype(np.int32), sa[1:].astype(np.int32)
         out = np.zeros(n - 1, np.int32)
-        for k in range(len(ranks) - 1, -1, -1):
-            r = ranks[k]
-            same = (i < n) & (j < n)
-            same[same] = r[i[same]] == r[j[same]]
-            out[same] += 1 << k
-            i[same] += 1 << k
-            j[same] += 1 << k
+        for k in range(len(ranks) - 1, -1, -1):  # ranks past the end differ from all
+            r = np.concatenate([ranks[k], [-1]])
+            same = r[np.minimum(i, n)] == r[np.minimum(j, n)]
+            same &= (i < n) & (j < n)
+            step = same.astype(np.int32) << k
+            out += step
+            i += step
+            j += step
         lcp[1:] = np.minimum(out, cap)
         self.low = [lcp.astype(np.uint8 if cap < 256 else np.int32)]  # minima over runs of 2^k
         while (w := 1 << (len(self.low) - 1)) * 2 <= n:
@@ -199,17 +200,28 @@ class FMIndex:
     def widen(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of all suffixes that agree with those in [lo, hi) on ``depth`` characters."""
         lo, hi = lo.copy(), hi.copy()
-        for k in range(len(self.low) - 1, -1, -1):
-            low, w = self.low[k], 1 << k
-            at = lo - w + 1  # lcp[lo-w+1 .. lo] >= depth: move w places up
-            ok = at >= 1
-            ok[ok] = low[at[ok]] >= depth[ok]
-            lo[ok] -= w
-            ok = hi + w <= self.n
-            ok[ok] = low[hi[ok]] >= depth[ok]
-            hi[ok] += w
+        for up in (True, False):
+            at, todo, k = (lo if up else hi), np.arange(len(lo)), 0
+            tops = np.zeros(len(lo), np.int64)
+            while len(todo) and k < len(self.low):  # gallop while the minima allow, then halve
+                todo = todo[self._moves(at, depth, todo, k, up)]
+                at[todo] += -(1 << k) if up else 1 << k
+                tops[todo] = k + 1
+                k += 1
+            for k in range(int(tops.max(initial=0)) - 1, -1, -1):
+                rest = np.flatnonzero(tops > k)
+                rest = rest[self._moves(at, depth, rest, k, up)]
+                at[rest] += -(1 << k) if up else 1 << k
         return lo, hi
 
+    def _moves(self, at: np.ndarray, depth: np.ndarray, lanes: np.ndarray, k: int, up: bool) -> np.ndarray:
+        """Which lanes can move their border by 2^k places: the LCP values passed are at least ``depth``."""
+        w, low = 1 << k, self.low[k]
+        first = at[lanes] - w + 1 if up else at[lanes]
+        ok = first >= 1 if up else first + w <= self.n
+        ok[ok] = low[first[ok]] >= depth[lanes[ok]]
+        return ok
+
     def lcp(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
         ok = (i > 0) & (i < self.n)
@@ -223,10 +235,11 @@ def _ones(words: np.ndarray, counts: np.ndarray, i: np.ndarray) -> np.ndarray:
     return counts[w] + np.bitwise_count(words[w] & mask)
 
 
-def matching_statistics(index: FMIndex, rows: np.ndarray, cap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def matching_statistics(index: FMIndex, rows: np.ndarray, cap: int, shared: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each place of equally long coded texts, right to left: (place, lo, hi, length of the match of two suffixes or more).
 
-    ``rows``: matrix of codes, one text a row; a code under 0 is padding and matches nothing.
+    ``rows``: matrix of codes, one text a row; a code under 0 is padding and matches nothing. ``shared``
+    marks suffixes (by their place in the order) that stand for several records and so count as two.
     """
     n, width = rows.shape
     lo, hi, q = np.zeros(n, np.int64), np.full(n, index.n, np.int64), np.zeros(n, np.int64)
@@ -238,6 +251,8 @@ def matching_statistics(index: FMIndex, rows: np.ndarray, cap: int) -> Iterator[
         while len(todo):
             l2, h2 = index.extend(c[todo], lo[todo], hi[todo])
             good = h2 - l2 >= 2
+            if shared is not None:
+                good |= (h2 - l2 == 1) & shared[np.minimum(l2, index.n - 1)]
             g = todo[good]
             lo[g], hi[g] = l2[good], h2[good]
             q[g] += 1
@@ -268,9 +283,21 @@ def _mix64(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _spread(keys: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key repeated by its size, and the places begin, begin + 1, ... that go with it."""
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(keys, sizes), np.arange(int(sizes.sum())) - np.repeat(first, sizes) + np.repeat(begins, sizes)
+
+
 def _shard(min_len: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, doc, start = pdf["context"].tolist(), pdf["doc_id"].to_numpy(np.int64), pdf["start"].to_numpy(np.int64)
+        # equal contexts are indexed and streamed once; group[first[t]:first[t+1]] are the rows of context t
+        same, distinct = pd.factorize(pdf["context"])
+        texts, doc, start = distinct.tolist(), pdf["doc_id"].to_numpy(np.int64), pdf["start"].to_numpy(np.int64)
+        group = np.lexsort((doc, same))
+        rows_of = np.bincount(same, minlength=len(texts))
+        begins = np.cumsum(rows_of) - rows_of
+        low, high = doc[group[begins]], doc[group[begins + rows_of - 1]]
         lens = np.array([len(t) for t in texts], np.int64)
         raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols, flat = np.unique(raw, return_inverse=True)
@@ -283,9 +310,9 @@ def _shard(min_len: int):
         joined[np.repeat(at, lens) + np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat + 1
         # 0 only as end mark: also the least symbol of the index
         index = FMIndex(joined, min_len)
-        owner = doc[np.searchsorted(at, index.sa, side="right") - 1]
+        owner = np.searchsorted(at, index.sa, side="right") - 1
         found = []
-        for j, lo, hi, q in matching_statistics(index, np.where(rows >= 0, rows + 1, -1), min_len):
+        for j, lo, hi, q in matching_statistics(index, np.where(rows >= 0, rows + 1, -1), min_len, (low != high)[owner]):
             r = np.flatnonzero(q >= min_len)
             if len(r):
                 found.append((r, np.full(len(r), j), lo[r], hi[r]))
@@ -298,6 +325,9 @@ def _shard(min_len: int):
         size = shi - slo
         inner = np.repeat(np.arange(len(span)), size)
         who = owner[np.arange(len(inner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(slo, size)]
+        # from contexts to their records
+        inner, place = _spread(inner, rows_of[who], begins[who])
+        who = doc[group[place]]
         order = np.lexsort((who, inner))
         inner, who = inner[order], who[order]
         once = np.concatenate([[True], (inner[1:] != inner[:-1]) | (who[1:] != who[:-1])])
@@ -316,7 +346,9 @@ def _shard(min_len: int):
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1) | (cls[1:] != cls[:-1])])
         a = np.flatnonzero(new)
         b = np.concatenate([a[1:], [len(row)]]) - 1
-        return pd.DataFrame({"doc_id": doc[row[a]], "start": start[row[a]] + j[a], "stop": start[row[a]] + j[b] + min_len, "cls": cls[a]})
+        k, place = _spread(np.arange(len(a)), rows_of[row[a]], begins[row[a]])
+        own = group[place]
+        return pd.DataFrame({"doc_id": doc[own], "start": start[own] + j[a][k], "stop": start[own] + j[b][k] + min_len, "cls": cls[a][k]})
 
     return run
 
