@@ -38,8 +38,7 @@ def test_fusion_of_one_sided_hits(spark):
 def test_metrics(spark):
     hits = spark.createDataFrame([("s", "q", x, i + 1) for i, x in enumerate("abc")], "strategy string, qid string, id string, rank int")
     judge = spark.createDataFrame([("q", "A"), ("q", "c"), ("p", "z")], "qid string, id string")
-    names = spark.createDataFrame([("s",)], "strategy string")
-    got = {r["qid"]: r for r in evaluation.query_metrics(hits, judge, names).collect()}
+    got = {r["qid"]: r for r in evaluation.query_metrics(hits, judge, ["s"]).collect()}
     assert got["q"]["ndcg_5"] == pytest.approx((1 + 1 / math.log2(3)) / 2, abs=1e-6)
     assert (got["q"]["recall_1"], got["q"]["recall_5"], got["q"]["rr"]) == (0.5, 1.0, 1.0)
     assert got["q"]["precision_5"] == pytest.approx(2 / 3, abs=1e-6)

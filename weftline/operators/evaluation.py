@@ -13,14 +13,14 @@ def judged(hits: DataFrame, judgments: DataFrame) -> DataFrame:
     return hits.withColumn("_id", F.lower("id")).join(rel, ["qid", "_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))).drop("_id")
 
 
-def query_metrics(hits: DataFrame, judgments: DataFrame, strategies: DataFrame) -> DataFrame:
+def query_metrics(hits: DataFrame, judgments: DataFrame, strategies: list[str]) -> DataFrame:
     """A row per strategy and judged query: recall at 1, 5, 10, precision at 5, reciprocal rank, nDCG at 5.
 
     Precision divides by the number of hits returned. nDCG leaves rank 1 undiscounted, divides the gain of
     rank r by log2(r) from rank 2, and takes as ideal the relevant hits among those retrieved, in front.
     """
     wanted = judgments.select("qid", F.lower("id").alias("_id")).distinct().groupBy("qid").agg(F.count("*").alias("n_rel"))
-    base = wanted.join(F.broadcast(strategies.select("strategy")))  # a handful of names
+    base = wanted.select("qid", "n_rel", F.explode(F.array(*[F.lit(x) for x in strategies])).alias("strategy"))
     discount = F.when(F.col("rank") == 1, 1.0).otherwise(1.0 / F.log2("rank"))
     within = lambda k, c: F.sum(F.when(F.col("rank") <= k, c).otherwise(0))
     agg = judged(hits, judgments).groupBy("strategy", "qid").agg(

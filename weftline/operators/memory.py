@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.text import word_tokens
 from weftline.operators.context import within_budget
@@ -35,15 +35,9 @@ def context(queries: DataFrame, entries: DataFrame, k: int, max_chars: int) -> D
 def prune(entries: DataFrame, most: int, keep: int) -> DataFrame:
     """Entries (id, importance, access_count): beyond ``most``, only the ``keep`` with the highest importance + 0.1 * accesses.
 
-    The least worth to keep comes from a histogram of worths, so no task sorts all entries; ties go by id.
+    Ties go by id. The cut is a top-k: each task sends its best ``keep`` rows only.
     """
     worth = entries.withColumn("worth", F.round(F.col("importance") + 0.1 * F.col("access_count"), 6))
-    n = entries.count()
-    if n <= most:
+    if entries.count() <= most:
         return worth
-    by = Window.orderBy(F.desc("worth")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = worth.groupBy("worth").agg(F.count("*").alias("n"))  # as many rows as distinct worths
-    edge = counts.withColumn("above", F.coalesce(F.sum("n").over(by), F.lit(0))).where((F.col("above") < keep) & (F.col("above") + F.col("n") >= keep)).first()
-    sure = worth.where(F.col("worth") > edge["worth"])
-    tied = worth.where(F.col("worth") == edge["worth"]).orderBy("id").limit(keep - edge["above"])
-    return sure.unionByName(tied)
+    return worth.orderBy(F.desc("worth"), "id").limit(keep)

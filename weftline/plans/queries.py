@@ -221,13 +221,12 @@ def chunk_order(s, d):
 
 @query
 def python_symbols(s, d):
-    from weftline.operators.catalog import distinct_chunks
-
-    c = distinct_chunks(table(s, d, "chunks")).where(T.suffix(F.col("file_path")) == "py")
+    c = _chunks(s, d).where(T.suffix(F.col("file_path")) == "py")
     lines = chunking.file_lines(c)
     last = lines.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line", "content"))).alias("_l"))
     # lines in no chunk are empty
-    full = F.expr("aggregate(_l, named_struct('n', 0L, 't', ''), (a, x) -> named_struct('n', x.line + 1L, 't', concat(a.t, repeat('\\n', cast(x.line + 1 - a.n - IF(a.n = 0, 1, 0) AS int)), x.content))).t")
+    spaced = F.expr("transform(_l, (x, i) -> concat(repeat('\\n', cast(x.line - IF(i = 0, 0, _l[i - 1].line) AS int)), x.content))")
+    full = F.array_join(spaced, "")
     return chunking.python_symbols(last.select("file_path", full.alias("text"))).select("file_path", "name", "type", "start_line", "end_line", "parent")
 
 
@@ -363,15 +362,13 @@ def _strategies(s, d):
 
 
 def _metrics(s, d):
-    names = s.createDataFrame([("bm25",), ("dense",), ("grep",), ("hybrid",)], "strategy string")
-    return evaluation.query_metrics(_strategies(s, d), _judgments(s, d), names)
+    return evaluation.query_metrics(_strategies(s, d), _judgments(s, d), ["bm25", "dense", "grep", "hybrid"])
 
 
 @query
 def eval_bm25(s, d):
-    names = s.createDataFrame([("bm25",)], "strategy string")
     hits = _bm25(s, d, 10).withColumn("strategy", F.lit("bm25"))
-    return evaluation.query_metrics(hits, _judgments(s, d), names)
+    return evaluation.query_metrics(hits, _judgments(s, d), ["bm25"])
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +31,8 @@ def at_most(df: DataFrame, rows: int) -> list | None:
     """The rows of ``df`` if there are no more than ``rows`` of them, else None (size check before broadcasting)."""
     got = df.limit(rows + 1).collect()
     return got if len(got) <= rows else None
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
