@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.llm.tokens import DEFAULT_VOCABULARY, token_count
-from weftline.session import cut_lineage
+from weftline.session import broadcast_if_small, cut_lineage
 
 BLOCK_ROWS = 4096
 FAN_IN = 64
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAUL
         docs.select("doc_id", F.lower(F.trim("source")).alias("source"), token_count(F.col("text"), vocabulary).alias("tokens")).where("source is not null and tokens > 0")
     )
     plan = cut_lineage(source_targets(sized, targets))
-    rows = sized.join(F.broadcast(plan.select("source", "copies_each", "n_docs")), "source")  # as many rows as targets
+    rows = sized.join(broadcast_if_small(plan.select("source", "copies_each", "n_docs")), "source")
     rows = rows.select(
         "doc_id", "source", "tokens",
         F.floor("copies_each").cast("int").alias("whole"),
@@ -118,7 +118,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAUL
         drawn = drawn.unionByName(part)
     copies = cut_lineage(drawn.select("doc_id", "source", "tokens", (F.col("whole") + F.round("prob")).cast("int").alias("copies")))
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_drawn"), F.max("copies").alias("most_copies"))
-    report = plan.join(F.broadcast(got), "source", "left").fillna(0, ["tokens_drawn", "most_copies"])
+    report = plan.join(got, "source", "left").fillna(0, ["tokens_drawn", "most_copies"])
     drawn_all = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(1)))
     report = report.withColumn("actual_share", F.when(drawn_all > 0, F.col("tokens_drawn") / drawn_all).otherwise(0.0))
     return copies.where("copies > 0"), report
