@@ -205,12 +205,12 @@ def _rank_bucket(dim: int, k: int, min_sim: float | None):
             has = ~np.isnan(own)
             s[np.flatnonzero(has), own[has].astype(np.int64)] = -2
             if min_sim is not None:
-                least = np.full(len(q), min_sim - 1e-5, np.float32)
-                many = np.flatnonzero((s >= min_sim - 1e-5).sum(axis=1) > 4 * more)
+                hit = s >= min_sim - 1e-5
+                many = np.flatnonzero(np.count_nonzero(hit, axis=1) > max(4 * more, len(base) // 16))
                 if len(many):  # in a dense cluster only the best of a row are worth an exact cosine
                     kth = -np.partition(-s[many], more - 1, axis=1)[:, more - 1]
-                    least[many] = np.maximum(least[many], kth - 1e-6)
-                r, c = np.nonzero(s >= least[:, None])
+                    hit[many] = s[many] >= np.maximum(kth - 1e-6, min_sim - 1e-5)[:, None]
+                r, c = np.nonzero(hit)
             elif len(base) > more:
                 c = np.argpartition(-s, more - 1, axis=1)[:, :more]
                 # ties at the border: keep everything that may be among the best
