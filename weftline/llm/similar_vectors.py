@@ -192,6 +192,8 @@ def _rank_bucket(dim: int, k: int, min_sim: float | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "role"])
         role, ids = pdf["role"].to_numpy(), pdf["id"].to_numpy()
+        by_name = np.empty(len(ids), np.int64)  # ids compare as numbers below
+        by_name[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
         x = unpack24(pdf["v"].tolist(), dim)
         x32 = x.astype(np.float32)
         base, ask = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
@@ -227,13 +229,12 @@ def _rank_bucket(dim: int, k: int, min_sim: float | None):
             sim = np.round(exact / (norm[r] * norm_b[c]), 9)
             keep = sim > -2 if min_sim is None else sim >= min_sim
             r, c, sim = r[keep], c[keep], sim[keep]
-            name = ids[base[c]]
-            order = np.lexsort((name.astype(str), -sim, r))
-            r, sim, name = r[order], sim[order], name[order]
+            order = np.lexsort((by_name[base[c]], -sim, r))
+            r, sim, c = r[order], sim[order], c[order]
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
             place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
             top = place < k
-            out.append(pd.DataFrame({"id": ids[q[r[top]]], "neighbor": name[top], "sim": sim[top]}))
+            out.append(pd.DataFrame({"id": ids[q[r[top]]], "neighbor": ids[base[c[top]]], "sim": sim[top]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbor": [], "sim": []}).astype({"id": str, "neighbor": str, "sim": float})
 
     return run
