@@ -61,6 +61,30 @@ class TestSimilarVectors:
             got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
         assert {i: [j for _, j in sorted(x)] for i, x in got.items()} == brute(rows)
 
+    def test_copies_find_scaled_and_near_copies(self, spark):
+        rng = np.random.default_rng(4)
+        base = rng.normal(size=64).astype(np.float32).astype(float)
+        tiny = np.zeros(64)
+        tiny[5] = 1e-4
+        rows = [(f"c{i:03d}", base) for i in range(60)] + [(f"a{i}", base * 2.0**i) for i in range(1, 4)] + [("b0", base + tiny), ("c002x", base * 0.5)]
+        rows += [(f"r{i}", base + 0.05 * rng.normal(size=64)) for i in range(20)]
+        df, want = vectors(spark, rows), brute(rows)
+        assert want["c050"] == ["a1", "a2", "a3", "b0", "c000"]
+        some = {"c001", "c005", "c040", "c059", "a1", "r3"}
+        for queries, ids in ((None, set(want)), (df.where(F.col("id").isin(*some)), some), (df.where("id = 'c044'"), {"c044"})):
+            got = {}
+            for r in similar_vectors.similar_vectors(df, queries, min_sim=0.5).collect():
+                got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+            assert {i: [j for _, j in sorted(x)] for i, x in got.items()} == {i: want[i] for i in ids}
+
+    def test_copies_in_many_parts(self, spark, monkeypatch):
+        monkeypatch.setattr(similar_vectors, "HEIRS_A_PART", 10)
+        base = np.random.default_rng(5).normal(size=64)
+        rows = [(f"c{i:03d}", base) for i in range(60)] + [("a", base * 2), ("z", -base)]
+        got = similar_vectors.similar_vectors(vectors(spark, rows), min_sim=0.5).collect()
+        want = brute(rows[:-1])
+        assert sorted((r["id"], r["rank"], r["neighbor"]) for r in got) == sorted((i, n + 1, j) for i, x in want.items() for n, j in enumerate(x))
+
     def test_hot_buckets_lose_nothing_near(self, spark):
         rng = np.random.default_rng(3)
         base = rng.normal(size=64)

@@ -9,7 +9,8 @@ product and reranked by their exact cosine; the best of all buckets are merged.
 
 Buckets over ``HOT_ROWS`` are split by further hashes. What no hash splits (near
 copies) is compared block by block, so nothing is dropped. Of identical vectors only
-the first few ids are hashed: they are the nearest of all the others.
+the first k + 1 ids are hashed: no other of them can be among the k nearest of any
+vector, and all of them have the same k nearest as the last one that is hashed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from weftline.session import at_most
 BUCKET_ROWS = 16_384
 HOT_ROWS = 32_768
 DEEPEST = 3
+HEIRS_A_PART = 50_000
 SEED = 20_011
 _CACHE: dict = {}
 
@@ -263,19 +265,23 @@ def similar_vectors(
     """
     clean = lambda df: df.select(F.col("id").cast("string").alias("id"), "vector").where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
     base, ask = clean(vectors), clean(queries) if queries is not None else None
-    links = None
+    heirs = None
     first = k + 1
     copies = base.groupBy(F.xxhash64("vector").alias("_h")).agg(F.approx_count_distinct("id").alias("n")).where(F.col("n") > 4 * first).select("_h")
     if copies.limit(1).count():
-        # of many identical vectors the first ids are the nearest of all others
         hashed = base.withColumn("_h", F.xxhash64("vector")).join(copies, "_h", "left_semi").select("_h", "id").distinct()
         firsts = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy("_h").orderBy("id"))).where(F.col("_rn") <= first).select("_h", "id", "_rn")
         rest = hashed.join(firsts, ["_h", "id"], "left_anti")
-        links = rest.join(firsts.where(F.col("_rn") <= k).select("_h", F.col("id").alias("neighbor")), "_h").select("id", "neighbor", F.lit(1.0).alias("sim"))
-        base = base.join(rest.select("id"), "id", "left_anti")
+        # k of its copies have smaller ids than the lead, so it is no neighbour of its heirs, nor they of it
+        heirs = rest.join(firsts.where(F.col("_rn") == first).select("_h", F.col("id").alias("lead")), "_h").select("lead", "id")
+        unhashed, selves = rest.select("id"), heirs.select("lead", F.col("lead").alias("id")).distinct()
         if ask is not None:
-            links = links.join(ask.select("id").distinct(), "id", "left_semi")
-            ask = ask.join(rest.select("id"), "id", "left_anti")
+            asked = ask.select("id").distinct()
+            heirs, selves = heirs.join(asked, "id", "left_semi"), selves.join(asked, "id", "left_semi")
+            leads = base.join(heirs.select(F.col("lead").alias("id")), "id", "left_semi")
+            ask = ask.join(unhashed, "id", "left_anti").unionByName(leads)
+        base = base.join(unhashed, "id", "left_anti")
+        heirs = heirs.select("lead", "id").unionByName(selves.select("lead", "id"))
     n = vectors.count()
     spread = insert_probes
     fine = fine_coordinates(n, dim, spread, bucket_rows)
@@ -285,7 +291,14 @@ def similar_vectors(
         entries = entries.unionByName(_entries(ask, tables, fine, query_probes, hot, left_over, hot_rows, 1))
     near = entries.groupBy("key").applyInPandas(_rank_bucket(dim, k, min_sim), "id string, neighbor string, sim double")
     near = near.groupBy("id", "neighbor").agg(F.max("sim").alias("sim"))
-    if links is not None:
-        near = near.unionByName(links)
     by = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbor")
-    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    if heirs is None:
+        return ranked
+    # a lead may have any number of heirs, so its few rows go to as many parts as they fill
+    parts = heirs.groupBy("lead").agg(F.ceil(F.count("*") / HEIRS_A_PART).cast("int").alias("_parts")).withColumnRenamed("lead", "id")
+    sent = ranked.join(parts, "id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    n_parts = parts.withColumnRenamed("id", "lead")
+    dealt = heirs.join(n_parts, "lead").select(F.col("lead").alias("_lead"), F.col("id").alias("heir"), F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_to"))
+    got = sent.join(dealt, (F.col("id") == F.col("_lead")) & (F.col("_part") == F.col("_to")), "left")
+    return got.where("_parts IS NULL OR heir IS NOT NULL").select(F.coalesce("heir", "id").alias("id"), "neighbor", "sim", "rank")
