@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import diff, text as T
-from weftline.operators import chunking, context, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.operators import chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
 from weftline.sources import files, reports
 from weftline.streaming import streams
 from tests.conftest import SF
@@ -27,6 +27,16 @@ def test_bm25_login(spark):
     assert s["r"] > s["q"]
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(dense, "BLOCK_SCORES", 16)
+    v = spark.createDataFrame([(f"{i:02d}", [float(i), 1.0]) for i in range(10)], "id string, vector array<float>")
+    got = dense.nearest(v.withColumnRenamed("id", "qid"), v, 2).collect()
+    want = {(f"{i:02d}", f"{j:02d}", n + 1) for i in range(10) for n, j in enumerate(sorted(range(10), key=lambda j: (abs(i - j), j))[:2])}
+    assert {(r["qid"], r["id"], r["rank"]) for r in got} == want
+    assert dense.nearest(v.withColumnRenamed("id", "qid").where("false"), v, 2).count() == 0
+
+
 def test_fusion_of_one_sided_hits(spark):
     one = spark.createDataFrame([("q", "b1", 2.0, 1)], "qid string, id string, score double, rank int")
     two = spark.createDataFrame([("q", "v1", 0.9, 1)], "qid string, id string, score double, rank int")

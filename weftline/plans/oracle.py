@@ -248,3 +248,14 @@ ORACLE_SQL |= {
     "agent_runs": f"{_RUNS} SELECT * FROM r",
     "agent_benchmark": f"{_RUNS} SELECT count(*) AS n, coalesce(round(avg(CAST(success AS INTEGER)), 4), 0.0) AS success_rate, coalesce(round(avg(iterations), 4), 0.0) AS mean_iterations, coalesce(round(avg(tokens), 4), 0.0) AS mean_tokens, coalesce(round(avg(tool_calls), 4), 0.0) AS mean_tool_calls, coalesce(round(avg(retrieval_tools), 4), 0.0) AS mean_retrieval_tools FROM r",
 }
+
+# searches that ask with every id divisible by 20; the others ask once per repository
+_Q20 = "q AS (SELECT id AS qid, symbol AS text FROM c WHERE symbol <> '' AND CAST('0x' || id AS BIGINT) % 20 = 0)"
+_QV20 = "qv AS (SELECT id AS qid, vector FROM v WHERE CAST('0x' || id AS BIGINT) % 20 = 0)"
+ORACLE_SQL |= {
+    f"{name}_wide": ORACLE_SQL[name].replace(Q, _Q20).replace(QV, _QV20)
+    for name in ("bm25_search", "knn_l2", "cosine_topk", "knn_prefilter", "hybrid_rrf", "symbol_boost", "best_per_symbol")
+}
+ORACLE_SQL["knn_embeddings_wide"] = (
+    f"WITH ev AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding AS vector FROM embeddings WHERE embedding IS NOT NULL), eq AS (SELECT CAST(vec_id AS VARCHAR) AS qid, embedding AS vector FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 20 = 0) {knn(k=5, source='ev', queries='eq')}"
+)

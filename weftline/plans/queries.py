@@ -43,6 +43,16 @@ def _query_vectors(s, d):
     return v.groupBy("qid").agg(F.min_by("vector", "id").alias("vector"))
 
 
+def _wide_queries(s, d):
+    """One query per chunk with an id divisible by 20: its symbol."""
+    return _chunks(s, d).where("symbol <> '' AND conv(id, 16, 10) % 20 = 0").select(F.col("id").alias("qid"), F.col("symbol").alias("text"))
+
+
+def _wide_vectors(s, d):
+    """One query vector per id divisible by 20."""
+    return _vectors(s, d).where("conv(id, 16, 10) % 20 = 0").select(F.col("id").alias("qid"), "vector")
+
+
 def _files(s, d):
     return table(s, d, "files").where("path IS NOT NULL").select("path", "sha256").distinct()
 
@@ -245,8 +255,8 @@ def postings_terms(s, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _bm25(s, d, k):
-    return lexical.top_k(lexical.bm25_scores(_eval_queries(s, d), _texts(s, d)), k)
+def _bm25(s, d, k, asked=_eval_queries):
+    return lexical.top_k(lexical.bm25_scores(asked(s, d), _texts(s, d)), k)
 
 
 @query
@@ -254,6 +264,11 @@ def bm25_search(s, d):
     return _bm25(s, d, 10)
 
 
+@query
+def bm25_search_wide(s, d):
+    return _bm25(s, d, 10, _wide_queries)
+
+
 @query
 def index_maintenance(s, d):
     """Averages of the index after the chunks of deleted and modified files are removed."""
@@ -305,12 +320,33 @@ def knn_embeddings(s, d):
     return dense.nearest(q, e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")), 5)
 
 
-def _dense_hits(s, d, k):
-    return dense.nearest(_query_vectors(s, d), _vectors(s, d), k)
+@query
+def knn_l2_wide(s, d):
+    return dense.nearest(_wide_vectors(s, d), _vectors(s, d), 10)
+
+
+@query
+def cosine_topk_wide(s, d):
+    return dense.nearest(_wide_vectors(s, d), _vectors(s, d), 10, metric="cosine")
+
+
+@query
+def knn_prefilter_wide(s, d):
+    return dense.nearest(_wide_vectors(s, d), _vectors(s, d).where("symbol_type = 'method' AND lower(language) = 'python'"), 10)
+
+
+@query
+def knn_embeddings_wide(s, d):
+    e = table(s, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    return dense.nearest(e.where("id % 20 = 0").withColumnRenamed("id", "qid"), e, 5)
+
 
+def _dense_hits(s, d, k, asked=_query_vectors):
+    return dense.nearest(asked(s, d), _vectors(s, d), k)
 
-def _hybrid(s, d, fetch=50):
-    return fusion.reciprocal_rank_fusion({"bm25": (_bm25(s, d, fetch), 0.5), "dense": (_dense_hits(s, d, fetch), 0.5)})
+
+def _hybrid(s, d, fetch=50, texts=_eval_queries, asked=_query_vectors):
+    return fusion.reciprocal_rank_fusion({"bm25": (_bm25(s, d, fetch, texts), 0.5), "dense": (_dense_hits(s, d, fetch, asked), 0.5)})
 
 
 @query
@@ -318,8 +354,13 @@ def hybrid_rrf(s, d):
     return lexical.top_k(_hybrid(s, d), 10, "rrf_score")
 
 
-def _boosted(s, d):
-    hits = _hybrid(s, d).join(_eval_queries(s, d), "qid")
+@query
+def hybrid_rrf_wide(s, d):
+    return lexical.top_k(_hybrid(s, d, texts=_wide_queries, asked=_wide_vectors), 10, "rrf_score")
+
+
+def _boosted(s, d, texts=_eval_queries, asked=_query_vectors):
+    hits = _hybrid(s, d, texts=texts, asked=asked).join(texts(s, d), "qid")
     return fusion.symbol_boost(hits.join(_chunks(s, d).select("id", "symbol", "symbol_type"), "id"))
 
 
@@ -333,6 +374,16 @@ def best_per_symbol(s, d):
     return fusion.best_per_symbol(_boosted(s, d), 5).select("qid", "id", "final_score", "rank")
 
 
+@query
+def symbol_boost_wide(s, d):
+    return _boosted(s, d, _wide_queries, _wide_vectors).select("qid", "id", "final_score")
+
+
+@query
+def best_per_symbol_wide(s, d):
+    return fusion.best_per_symbol(_boosted(s, d, _wide_queries, _wide_vectors), 5).select("qid", "id", "final_score", "rank")
+
+
 @query
 def find_definition(s, d):
     hits = fusion.best_per_symbol(_boosted(s, d), 8)
