@@ -119,6 +119,17 @@ def test_sanitize_and_redact(spark):
     assert spark.createDataFrame([("api_key = abcdefgh123",)], "t string").select(scan.redact(F.col("t"))).first()[0] == "***REDACTED***"
 
 
+def test_grep_in_all_repositories(spark, monkeypatch):
+    rows = [("a1", "r", "def Load_User(x)"), ("b2", "s", "load_user and SAVE"), ("b1", "s", "save load_user"), ("n", "s", None), ("z", "t", "nothing")]
+    c = spark.createDataFrame(rows, "id string, repo string, content string")
+    q = spark.createDataFrame([("r", "load_user"), ("s", "load_user  save"), ("t", " "), ("u", "absent"), ("v", "load_user nothing")], "qid string, text string")
+    want = {("r", "a1", 1), ("r", "b1", 2), ("s", "b1", 1), ("s", "b2", 2)}
+    assert {(r["qid"], r["id"], r["rank"]) for r in scan.all_tokens_hits(q, c, 2).collect()} == want
+    monkeypatch.setattr(scan, "BLOCK_QUERIES", 1)
+    assert {(r["qid"], r["id"], r["rank"]) for r in scan.all_tokens_hits(q, c, 2).collect()} == want
+    assert scan.all_tokens_hits(q.where("false"), c, 2).count() == 0
+
+
 def test_logs(spark):
     raw = "____________________ x\nFAILED tests/t.py::test_a - boom\nAssertionError: no\nFile \"t.py\", line 12\n1 failed, 2 passed in 1.23s"
     df = spark.createDataFrame([("r", raw), ("e", "")], "run_id string, raw string")

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import batched, chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.operators.lexical import top_k
+from weftline.session import cut_lineage
+
+BLOCK_QUERIES = 20_000
 #: Instructions aimed at an assistant: (kind, pattern), matched without case (fixed values).
 INJECTION_PATTERNS = (
     ("instruction override", r"ignore (all |any |the )?(previous|above|prior|earlier) (instructions|prompts|messages|context|directions)"),
@@ -59,6 +66,44 @@ def has_all_tokens(text: Column, query: Column) -> Column:
     return F.forall(words, lambda w: F.contains(F.lower(text), w))
 
 
+def all_tokens_hits(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): for each query (qid, text) the first ``k`` ids of docs (id, content) that hold all its words; the score is 1.
+
+    Every query is tested against all docs. Queries are taken in blocks of ``BLOCK_QUERIES``; where there is more
+    than one, the result of each is written. A task keeps the first ``k`` of each of its batches. Queries without words find nothing.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != ""))
+    asked = queries.select("qid", words.alias("words")).where(F.size("words") > 0)
+    lower = docs.where("content IS NOT NULL").select("id", F.lower("content").alias("content"))
+    blocks = batched(asked.toLocalIterator(), BLOCK_QUERIES)
+    first, second = next(blocks, ()), next(blocks, None)
+    if second is None:
+        return _all_tokens_of(first, lower, k)
+    return reduce(DataFrame.unionByName, [cut_lineage(_all_tokens_of(rows, lower, k)) for rows in chain((first, second), blocks)])
+
+
+def _all_tokens_of(rows: tuple, lower: DataFrame, k: int) -> DataFrame:
+    asked = [(r["qid"], sorted(r["words"], key=len, reverse=True)) for r in rows]
+    rarest = defaultdict(list)  # queries by their longest word, which is looked for once
+    for qid, words in asked:
+        rarest[words[0]].append((qid, words[1:]))
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values("id")
+            texts = list(zip(pdf["id"], pdf["content"], strict=True))
+            qids, ids = [], []
+            for word, those in rarest.items():
+                held = [(i, t) for i, t in texts if word in t]
+                for qid, others in those if held else ():
+                    got = list(islice((i for i, t in held if all(w in t for w in others)), k))
+                    qids += [qid] * len(got)
+                    ids += got
+            yield pd.DataFrame({"qid": qids, "id": ids, "score": 1.0}).astype({"qid": str, "id": str, "score": float})
+
+    return top_k(lower.mapInPandas(block, "qid string, id string, score double"), k)
+
+
 def pattern_counts(texts: DataFrame, patterns: tuple[tuple[str, str], ...], *, ignore_case: bool) -> DataFrame:
     """(id, kind, n): matches of each kind in texts (id, content); kinds without a match have no row."""
     flag = "(?i)" if ignore_case else ""

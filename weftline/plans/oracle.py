@@ -259,3 +259,8 @@ ORACLE_SQL |= {
 ORACLE_SQL["knn_embeddings_wide"] = (
     f"WITH ev AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding AS vector FROM embeddings WHERE embedding IS NOT NULL), eq AS (SELECT CAST(vec_id AS VARCHAR) AS qid, embedding AS vector FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 20 = 0) {knn(k=5, source='ev', queries='eq')}"
 )
+
+# the grep over all repositories
+_GA = GR.replace("q JOIN (SELECT repo AS qid, id, content FROM c) USING (qid)", "q CROSS JOIN c")
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(GR, _GA) for name in ("strategy_benchmark", "best_strategy")}
+ORACLE_SQL["grep_all_repositories"] = ORACLE_SQL["grep_all_tokens"].replace(GR, _GA)

@@ -295,6 +295,11 @@ def grep_all_tokens(s, d):
     return lexical.top_k(hits.select("qid", "id", F.lit(1.0).alias("score")), 10)
 
 
+@query
+def grep_all_repositories(s, d):
+    return scan.all_tokens_hits(_eval_queries(s, d), _chunks(s, d), 10)
+
+
 # --- dense search and fusion ----------------------------------------------------------------
 
 
@@ -403,17 +408,17 @@ def _judgments(s, d):
     return _eval_queries(s, d).join(_chunks(s, d).select("id", F.col("symbol").alias("text")), "text").select("qid", "id")
 
 
-def _strategies(s, d):
+def _strategies(s, d, grep=grep_all_tokens):
     cols = ["strategy", "qid", "id", "rank"]
     b = _bm25(s, d, 10).withColumn("strategy", F.lit("bm25")).select(*cols)
     v = _dense_hits(s, d, 10).withColumn("strategy", F.lit("dense")).select(*cols)
     h = hybrid_rrf(s, d).withColumn("strategy", F.lit("hybrid")).select(*cols)
-    g = grep_all_tokens(s, d).withColumn("strategy", F.lit("grep")).select(*cols)
+    g = grep(s, d).withColumn("strategy", F.lit("grep")).select(*cols)
     return b.unionByName(v).unionByName(h).unionByName(g)
 
 
-def _metrics(s, d):
-    return evaluation.query_metrics(_strategies(s, d), _judgments(s, d), ["bm25", "dense", "grep", "hybrid"])
+def _metrics(s, d, grep=grep_all_tokens):
+    return evaluation.query_metrics(_strategies(s, d, grep), _judgments(s, d), ["bm25", "dense", "grep", "hybrid"])
 
 
 @query
@@ -432,6 +437,17 @@ def best_strategy(s, d):
     return evaluation.best_strategy(evaluation.strategy_metrics(_metrics(s, d)))
 
 
+@query
+def strategy_benchmark_all(s, d):
+    """The benchmark with a grep over all repositories, as the other strategies search."""
+    return evaluation.strategy_metrics(_metrics(s, d, grep_all_repositories))
+
+
+@query
+def best_strategy_all(s, d):
+    return evaluation.best_strategy(evaluation.strategy_metrics(_metrics(s, d, grep_all_repositories)))
+
+
 @query
 def ground_truth(s, d):
     """Lower-case ground truth of each query: files, ids and symbols."""
@@ -764,4 +780,4 @@ def agent_benchmark(s, d):
 def benchmark_report(s, d):
     from weftline.sources.reports import markdown
 
-    return markdown(evaluation.strategy_metrics(_metrics(s, d)), ["strategy"])
+    return markdown(evaluation.strategy_metrics(_metrics(s, d, grep_all_repositories)), ["strategy"])
