@@ -230,6 +230,11 @@ def test_rerank_and_roles(spark):
     assert [r[0] for r in tasks.select(expansion.assign_role(F.col("t"))).collect()] == ["researcher", "tester", "coder", "reviewer", "debugger", None, None]
 
 
+def test_rerank_reads_whole_contents(spark):
+    df = spark.createDataFrame([("q", "a", "load user", "load", 1), ("q", "b", "load user", "x " * 1500 + "load user", 2)], "qid string, id string, text string, content string, rank int")
+    assert [(r["id"], r["score"]) for r in expansion.rerank(df, expansion.word_overlap, 1).collect()] == [("b", 1.0)]
+
+
 def test_states_and_plans(spark):
     r = spark.sql("SELECT map('a', array('1'), 'b', array('2')) x, map('a', array('3'), 'c', array('4')) y").select(expansion.merge_states(F.col("x"), F.col("y")).alias("m")).first()
     assert r["m"] == {"a": ["1", "3"], "b": ["2"], "c": ["4"]}

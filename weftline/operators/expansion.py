@@ -36,11 +36,12 @@ def expand_by_parent(hits: DataFrame, docs: DataFrame, *, tries: int = 3, least:
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, k: int) -> DataFrame:
     """The best ``k`` of each query by ``scorer``(query text, content); without a scorer the given ranks stay.
 
-    hits: (qid, id, text, content, rank). A scorer is any column function, a pandas UDF around a model included.
+    hits: (qid, id, text, content, rank). A scorer is any column function, a pandas UDF around a model included;
+    it gets the whole content, and one with a limit cuts it itself.
     """
     if scorer is None:
         return hits.where(F.col("rank") <= k)
-    scored = hits.drop("rank").withColumn("score", F.round(scorer(F.col("text"), F.substring("content", 1, 2000)), 6))
+    scored = hits.drop("rank").withColumn("score", F.round(scorer(F.col("text"), F.col("content")), 6))
     return top_k(scored, k)
 
 

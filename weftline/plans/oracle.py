@@ -264,3 +264,5 @@ ORACLE_SQL["knn_embeddings_wide"] = (
 _GA = GR.replace("q JOIN (SELECT repo AS qid, id, content FROM c) USING (qid)", "q CROSS JOIN c")
 ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(GR, _GA) for name in ("strategy_benchmark", "best_strategy")}
 ORACLE_SQL["grep_all_repositories"] = ORACLE_SQL["grep_all_tokens"].replace(GR, _GA)
+
+ORACLE_SQL["rerank_overlap_whole"] = ORACLE_SQL["rerank_overlap"].replace("substr(coalesce(c.content, ''), 1, 2000)", "coalesce(c.content, '')")

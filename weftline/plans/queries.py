@@ -754,10 +754,20 @@ def expand_context(s, d):
     return expansion.expand_by_parent(hits.join(_chunks(s, d).select("id", "parent"), "id"), _texts(s, d))
 
 
+def _rerank_hits(s, d):
+    return _bm25(s, d, 20).join(_eval_queries(s, d), "qid").join(_chunks(s, d).select("id", F.coalesce("content", F.lit("")).alias("content")), "id")
+
+
 @query
 def rerank_overlap(s, d):
-    hits = _bm25(s, d, 20).join(_eval_queries(s, d), "qid").join(_chunks(s, d).select("id", F.coalesce("content", F.lit("")).alias("content")), "id")
-    return expansion.rerank(hits, expansion.word_overlap, 5).select("qid", "id", "score", "rank")
+    """By the first 2,000 characters, as its SQL states; ``rerank_overlap_whole`` has no limit."""
+    first = lambda q, c: expansion.word_overlap(q, F.substring(c, 1, 2000))
+    return expansion.rerank(_rerank_hits(s, d), first, 5).select("qid", "id", "score", "rank")
+
+
+@query
+def rerank_overlap_whole(s, d):
+    return expansion.rerank(_rerank_hits(s, d), expansion.word_overlap, 5).select("qid", "id", "score", "rank")
 
 
 @query
