@@ -230,6 +230,16 @@ def test_rerank_and_roles(spark):
     assert [r[0] for r in tasks.select(expansion.assign_role(F.col("t"))).collect()] == ["researcher", "tester", "coder", "reviewer", "debugger", None, None]
 
 
+def test_expansion_by_parent_and_import(spark):
+    docs = spark.createDataFrame(
+        [("c1", "class Store"), ("c2", "class Store with more words in it"), ("i1", "import load"), ("i2", "x " * 60 + "import load"), ("m1", "def load"), ("m2", "def save"), ("k", "class Other"), *((f"z{i}", f"filler number {i}") for i in range(30))], "id string, text string"
+    )
+    hits = spark.createDataFrame([("q", "m1", 1, "load", "method", "Store"), ("q", "m2", 2, "save", "method", "Store"), ("q", "z1", 3, None, "class", "Other")], "qid string, id string, rank int, symbol string, symbol_type string, parent string")
+    got = {(r["base_id"], r["id"], r["reason"]) for r in expansion.expand_hits(hits, docs).collect()}
+    assert got == {("m1", "c1", "parent"), ("m1", "i1", "import"), ("m2", "c2", "parent")}
+    assert expansion.expand_hits(hits.where("false"), docs).count() == 0
+
+
 def test_rerank_reads_whole_contents(spark):
     df = spark.createDataFrame([("q", "a", "load user", "load", 1), ("q", "b", "load user", "x " * 1500 + "load user", 2)], "qid string, id string, text string, content string, rank int")
     assert [(r["id"], r["score"]) for r in expansion.rerank(df, expansion.word_overlap, 1).collect()] == [("b", 1.0)]

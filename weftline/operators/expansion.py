@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.operators.lexical import bm25_scores, top_k
+from weftline.session import cut_lineage
 
 #: Words that speak for a role, in the order in which roles win ties (fixed values).
 ROLE_WORDS = {
@@ -33,6 +34,30 @@ def expand_by_parent(hits: DataFrame, docs: DataFrame, *, tries: int = 3, least:
     return per_hit.withColumn("_m", F.row_number().over(Window.partitionBy("qid", "id").orderBy("base_id"))).where("_m = 1").select("qid", "base_id", "id", "score")
 
 
+def expand_hits(hits: DataFrame, docs: DataFrame, *, tries: int = 3, least: float = 0.1) -> DataFrame:
+    """(qid, base_id, id, score, reason): up to two more texts for each hit (qid, id, rank, symbol, symbol_type, parent).
+
+    A method or function looks for its parent's name, then every hit for 'import <symbol>', of which a text counts
+    with 'import' in its first 100 characters. Of the best ``tries`` texts over ``least`` each takes the first
+    that is no hit of the query and that no earlier hit has taken. A query's candidates are its hits, twice ``tries``, folded in order.
+    """
+    base = hits.select("qid", F.col("id").alias("base_id"), F.col("rank").alias("place"), "symbol", "symbol_type", "parent")
+    up = base.where("parent <> '' AND symbol_type IN ('method', 'function')").select("qid", "base_id", "place", F.lit(0).alias("branch"), F.col("parent").alias("text"))
+    imports = base.select("qid", "base_id", "place", F.lit(1).alias("branch"), F.concat(F.lit("import "), F.coalesce("symbol", F.lit(""))).alias("text"))
+    asked = cut_lineage(up.unionByName(imports))
+    found = top_k(bm25_scores(asked.select(F.col("text").alias("qid"), "text").distinct(), docs), tries).where(F.col("score") > least)
+    starts = docs.select("id", F.coalesce(F.contains(F.substring("text", 1, 100), F.lit("import")), F.lit(False)).alias("imports"))
+    rows = asked.join(found.select(F.col("qid").alias("text"), "id", "score", "rank"), "text").join(starts, "id").where("branch = 0 OR imports")
+    rows = rows.join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+    listed = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", "base_id", "branch", "rank", "id", "score"))).alias("_c"))
+    fold = F.expr(
+        """aggregate(_c, filter(_c, x -> false), (s, x) -> CASE
+             WHEN exists(s, y -> y.id = x.id OR (y.base_id = x.base_id AND y.branch = x.branch)) THEN s ELSE concat(s, array(x)) END)"""
+    )
+    taken = listed.select("qid", F.explode(fold).alias("_t"))
+    return taken.select("qid", "_t.base_id", "_t.id", "_t.score", F.when(F.col("_t.branch") == 0, "parent").otherwise("import").alias("reason"))
+
+
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, k: int) -> DataFrame:
     """The best ``k`` of each query by ``scorer``(query text, content); without a scorer the given ranks stay.
 

@@ -754,6 +754,13 @@ def expand_context(s, d):
     return expansion.expand_by_parent(hits.join(_chunks(s, d).select("id", "parent"), "id"), _texts(s, d))
 
 
+@query
+def expand_context_whole(s, d):
+    """With the import branch, and the next candidate where a text is taken."""
+    hits = cut_lineage(fusion.best_per_symbol(_boosted(s, d), 10).select("qid", "id", "rank"))
+    return expansion.expand_hits(hits.join(_chunks(s, d).select("id", "symbol", "symbol_type", "parent"), "id"), _texts(s, d))
+
+
 def _rerank_hits(s, d):
     return _bm25(s, d, 20).join(_eval_queries(s, d), "qid").join(_chunks(s, d).select("id", F.coalesce("content", F.lit("")).alias("content")), "id")
 
