@@ -180,6 +180,21 @@ def test_prune_and_tfidf(spark):
     assert [r["id"] for r in memory.tfidf(q, e).collect()] == ["3"]
 
 
+def test_memory_duplicates_against_brute_force(spark):
+    ws = [f"w{i}" for i in range(20)]
+    texts = [ws, ws[:19], ws[:18], ws[:17], ws, ws[::-1], ["a"], ["b"], [], ws[:19] + ["x"], ws[:18] + ["x", "y"]]
+    rows = [(str(i), " ".join(t).upper() if i % 2 else " ".join(t), c, (i * 7 % 10) / 10, i) for i, (t, c) in enumerate([(t, c) for t in texts for c in ("p", "q", None)])] + [("n", None, "p", 0.1, 99)]
+    want = set()
+    for i, t, c, imp, _ in rows:
+        for j, u, e, old, _ in rows[: [r[0] for r in rows].index(i)]:
+            x, y = set((t or "").lower().split()), set((u or "").lower().split())
+            if c == e and x and y and len(x & y) / len(x | y) > 0.85:
+                want.add((i, j, max(imp, old)))
+                break
+    df = spark.createDataFrame(rows, "id string, content string, category string, importance double, place long")
+    assert want and {tuple(r) for r in memory.duplicates(df).collect()} == want
+
+
 def test_repository_scan(spark, tmp_path):
     for name, data in {"main.py": b"x = 1\n", "data.bin2": b"hello\0world", "skip.pyc": b"x", "empty.py": b"", "nested/utils.py": "y = 'é'\n".encode(), "node_modules/a.js": b"1"}.items():
         p = tmp_path / name

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.text import word_tokens
 from weftline.operators.context import within_budget
+from weftline.session import cut_lineage
 
 
 def tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -41,3 +42,30 @@ def prune(entries: DataFrame, most: int, keep: int) -> DataFrame:
     if entries.count() <= most:
         return worth
     return worth.orderBy(F.desc("worth"), "id").limit(keep)
+
+
+def duplicates(entries: DataFrame) -> DataFrame:
+    """(id, match_id, importance): entries whose words are nearly those of an earlier one, the first such, and the higher importance of the two.
+
+    entries: (id, content, category, importance, place). The category is the same and the Jaccard similarity over 0.85; earlier
+    goes by place. Equal word sets of a category are one class, and classes are joined on their rarest words only.
+    """
+    words = F.sort_array(F.array_distinct(word_tokens(F.col("content"))))
+    e = entries.select("id", "importance", F.struct("place", "id", "importance").alias("at"), F.coalesce("category", F.lit("")).alias("cat"), words.alias("words")).where(F.size("words") > 0)
+    keyed = cut_lineage(e.withColumn("class", F.sha2(F.concat_ws(" ", "cat", "words"), 256)))
+    sets = keyed.groupBy("class", "cat", "words").agg(F.min("at").alias("at"))
+    each = sets.select("class", "cat", F.explode("words").alias("w"))
+    freq = each.groupBy("cat", "w").agg(F.count("*").alias("f"))
+    ranked = each.join(freq, ["cat", "w"]).groupBy("class", "cat").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("_s"))
+    n = F.size("_s")
+    prefix = ranked.select("class", "cat", n.alias("n"), F.explode(F.slice("_s", 1, (n - F.ceil(n * 0.85 - 1e-9) + 1).cast("int"))).alias("_w")).select("class", "cat", "n", F.col("_w.w").alias("w"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    same = (F.col("a.cat") == F.col("b.cat")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.class") != F.col("b.class"))
+    reachable = (F.col("a.n") * 100 >= F.col("b.n") * 85) & (F.col("b.n") * 100 >= F.col("a.n") * 85)
+    pairs = a.join(b, same & reachable).select(F.col("a.class").alias("class"), F.col("b.class").alias("other")).distinct()
+    both = pairs.join(sets.select("class", F.col("words").alias("_x")), "class").join(sets.select(F.col("class").alias("other"), F.col("words").alias("_y"), "at"), "other")
+    inter = F.size(F.array_intersect("_x", "_y"))
+    near = both.where(inter * 100 > (F.size("_x") + F.size("_y") - inter) * 85).select("class", "at").unionByName(sets.select("class", "at"))
+    first = near.groupBy("class").agg(F.min("at").alias("first"))
+    got = keyed.join(first, "class").where(F.col("first") < F.col("at"))
+    return got.select("id", F.col("first.id").alias("match_id"), F.greatest("importance", "first.importance").alias("importance"))

@@ -630,6 +630,11 @@ def memory_prune(s, d):
     return memory.prune(_entries(s, d), 500, 400).select("id", "worth")
 
 
+@query
+def memory_duplicates(s, d):
+    return memory.duplicates(_entries(s, d).withColumn("place", F.col("id").cast("long")))
+
+
 @query
 def memory_stats(s, d):
     return _entries(s, d).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("importance"))
