@@ -5,8 +5,11 @@ from __future__ import annotations
 import ast
 import itertools
 import json
+import os
 import random
+import time
 import warnings
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -235,6 +238,59 @@ class TestSyntax:
         for text in bad:
             assert not languages.valid(text, suffix), text
 
+    @pytest.mark.parametrize(
+        ("suffix", "texts"),
+        [
+            ("py", ["x = 0.05", "x = 1.05e3j + 0.01", "x = 00 + 0_0", 'x = f"{a["b"]}"', 'x = f"{f"{1}"}"', "x = f'{a:{w}.{p}}'", "match = 1\nmatch x:\n  case [1, *_]: pass"]),
+            ("js", ["if (a) b()\nelse c()", "if (a) b\nelse if (c) d\nelse { }", "with (a) b()", "var await = 1, yield_ = 2", "do x(); while (y) z()", "if (a) /re[/]/.test(b)", "x = a\n/b/c", "return_: for (;;) { break return_ }", "#!/usr/bin/env node\nvar a = `x`", "export default { a: 1 }", "a\n++b", "class A { static { } static x = 1\n y\n async *z() {} get\n w() {} }", "x = y / 2 / z", "for (const x of y) if (/a}/.test(x)) z()"]),
+            ("ts", ["x!.y; x!(); x![0]", "import { type A, type B as C } from 'c'", "type A = typeof import('x')", "export default interface A { }", "export default function f(): void", "class A { m?(): void; n!: string; declare o: B }", "let y = <T>x", "using x = y", "type A = {\n a: string\n [k: string]: any\n (b): void\n}", "declare global { var a: B }", "export declare const enum E { A = 1 }", "type F = abstract new (...a: any) => any", "type T = { -readonly [K in keyof X]-?: X[K] }", "let a = b as const satisfies C", "f<T>(x)\nnew Map<string, A<B>>()", "export type * from 'a'", "function a(x): x is B\nfunction a(x) { return 1 }", "type U =\n | 'a'\n | `b${string}`", "let f = async <T,>(x: T): Promise<T> => x"]),
+            ("java", ["module a.b { requires transitive c; }", "void main() { }", "sealed interface A permits B { }"]),
+        ],
+    )
+    def test_ordinary_code_is_valid(self, suffix, texts):
+        assert [t for t in texts if not languages.valid(t, suffix)] == []
+
+    @pytest.mark.parametrize(("suffix", "texts"), [
+        ("py", ["x = 0777", "x = 1__0", "x = f'{a'", "x = f'{}'"]),
+        ("js", ["try { }", "{ a: 1, b: 2 }", '{ "a": 1 }', "() => { a: 1, b: 2 }", "throw\nx", "const x", "a b", "let x = a +", "x = y ? z", "var p: number = 1"]),
+        ("ts", ["class A { x: }", "import { type } from", "let x: = 1", "interface A { b: }", "x as"]),
+    ])
+    def test_broken_code_is_not(self, suffix, texts):
+        assert [t for t in texts if languages.valid(t, suffix)] == []
+
+    def test_long_lists_take_linear_time(self):
+        began = time.time()
+        assert languages.valid("x = [" + "'abc', " * 60_000 + "]", "js") and languages.valid("x = {" + "'abc': 1, " * 40_000 + "}", "py")
+        assert time.time() - began < 30
+
+    def test_the_standard_library_is_valid(self):
+        """Each file of the running Python's library that its own parser takes."""
+        root, bad = Path(os.__file__).parent, []
+        for p in sorted(root.glob("*.py")) + sorted(root.glob("*/*.py")):
+            if p.parent.name in ("site-packages", "lib2to3", "pydoc_data") or "test" in p.parent.name:
+                continue
+            text = p.read_text(encoding="utf-8", errors="replace")
+            if not languages.valid(text, "py"):
+                try:
+                    ast.parse(text)
+                    bad.append(str(p))
+                except SyntaxError:
+                    pass
+        assert bad == []
+
+    @pytest.mark.parametrize("suffix", ["js", "ts"])
+    def test_installed_packages_are_valid(self, suffix):
+        """Up to 400 distinct files of installed packages, where there are any: under one in two hundred may be rejected (some are broken, or JSX)."""
+        seen: dict[str, Path] = {}
+        for root in (Path("/usr/lib/node_modules"), Path.home() / ".nvm/versions"):
+            for p in sorted(root.rglob(f"*.{suffix}")) if root.is_dir() else []:
+                if len(seen) < 400 and p.is_file() and p.stat().st_size < 100_000:
+                    seen.setdefault(p.read_text(encoding="utf-8", errors="replace"), p)
+        if len(seen) < 20:
+            pytest.skip("no packages here")
+        bad = [str(p) for text, p in seen.items() if not languages.valid(text, suffix)]
+        assert len(bad) <= len(seen) / 200, bad
+
     def test_ambiguous_and_left_recursive_grammar(self):
         g = gll.Grammar("s = s s | 'a' | 's'?")
         toks = [g.bit("'a")] * 8 + [1]

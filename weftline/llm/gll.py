@@ -4,10 +4,13 @@ A token is a bit mask of the terminals it satisfies. Brackets are matched first;
 a bracket's content is recognised on its own, and the whole bracket becomes one token
 whose mask tells which nonterminals derive the content. So each token is parsed once,
 and what a content or a statement derives is remembered by its token masks: the
-result depends on nothing else.
+result depends on nothing else. The dialects of a language are alternatives of one
+grammar (or start symbols of it) and are explored together on one shared stack.
 
 Grammar notation: 'lit', CLASS, name; P{n} K{n} B{n} T{n}: a round, square, curly or
 template bracket whose content derives n; ( | ) ? * +; $ is the end of the content.
+Tests of the next token without taking it: ~ a line begins with it, ^ no line begins
+with it, % it is no curly bracket, & it is neither that nor 'function' nor 'class'.
 """
 
 from __future__ import annotations
@@ -16,23 +19,25 @@ import re
 
 OPEN = {"(": "P", "[": "K", "{": "B", "${": "T"}
 CLOSE = {")": "P", "]": "K", "}": "B", "}$": "T"}
-_LEX = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|([PKBT])\{(\w+)\}|([A-Z]\w*)|([a-z_]\w*)|([()|?*+$=;]))")
+_LEX = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|([PKBT])\{(\w+)\}|([A-Z]\w*)|([a-z_]\w*)|([()|?*+$=;~^%&]))")
 MEMO_ENTRIES = 400_000
+TERMINAL, NONTERMINAL, END, LINE, CHOICE, NO_LINE, NOT = range(7)
+#: Bit of a token that begins a line, where the line before could end a statement.
+NEW_LINE = 2
 
 
 class Grammar:
-    """Compiled grammar. A slot is (op, argument, next): op 0 terminal, 1 nonterminal, 2 end of content."""
+    """Compiled grammar: a graph of slots [op, argument, next]; repetitions are loops in it, so a list takes time linear in its length."""
 
     def __init__(self, text: str):
-        self.bits: dict[str, int] = {"$": 1}
+        self.bits: dict[str, int] = {"$": 1, "~": NEW_LINE}
         self.groups: dict[str, list[str]] = {k: [] for k in "PKBT"}
-        self._alts: dict[str, list[list[tuple]]] = {}
-        self._fresh = 0
+        trees: dict[str, list[list[tuple]]] = {}
         for rule in re.split(r"\n(?=[a-z_]\w*\s*=)", text.strip()):
             name, body = re.split(r"\s*=", rule, maxsplit=1)
             toks = [next(((k, m[k + 1]) for k in range(6) if m[k + 1] is not None)) + (m[3],) for m in _LEX.finditer(body)]
-            self._alts[name.strip()] = self._choice(toks, [0])
-        self._link()
+            trees[name.strip()] = self._choice(toks, [0])
+        self._link(trees)
 
     def bit(self, name: str) -> int:
         return self.bits.setdefault(name, 1 << len(self.bits))
@@ -42,15 +47,15 @@ class Grammar:
         while at[0] < len(toks):
             kind, text, inner = toks[at[0]]
             at[0] += 1
-            if kind == 5 and text in ")":
+            if kind == 5 and text == ")":
                 break
             if kind == 5 and text == "|":
                 alts.append([])
                 continue
             if kind == 5 and text == "(":
-                item = self._new(self._choice(toks, at))
-            elif kind == 5 and text == "$":
-                item = ("end",)
+                item = ("group", self._choice(toks, at))
+            elif kind == 5:
+                item = (text,)
             elif kind == 0:
                 item = ("t", self.bit("'" + text.replace("\\'", "'")))
             elif kind == 1:
@@ -62,61 +67,94 @@ class Grammar:
             else:
                 item = ("n", text)
             if at[0] < len(toks) and toks[at[0]][0] == 5 and toks[at[0]][1] in "?*+":
-                rep = toks[at[0]][1]
+                item = (toks[at[0]][1], item[1] if item[0] == "group" else [[item]])
                 at[0] += 1
-                if rep == "?":
-                    item = self._new([[item], []])
-                else:
-                    many = self._new([])
-                    self._alts[many[1]] = [[item, many], []]
-                    item = many if rep == "*" else self._new([[item, many]])
             alts[-1].append(item)
         return alts
 
-    def _new(self, alts: list) -> tuple:
-        self._fresh += 1
-        name = f"_{self._fresh}"
-        self._alts[name] = alts
-        return ("n", name)
+    def _link(self, trees: dict[str, list[list[tuple]]]) -> None:
+        self.index = {n: i for i, n in enumerate(trees)}
+        curly = sum(self.bits[f"B{{{x}}}"] for x in self.groups["B"])
+        barred = {"%": curly, "&": curly | self.bit("'function") | self.bit("'class")}
+        simple = {"$": END, "~": LINE, "^": NO_LINE}
+
+        def build(seq: list[tuple], after: list | None) -> list | None:
+            for item in reversed(seq):
+                kind = item[0]
+                if kind == "t":
+                    after = [TERMINAL, item[1], after]
+                elif kind == "n":
+                    after = [NONTERMINAL, self.index[item[1]], after]
+                elif kind in simple:
+                    after = [simple[kind], 0, after]
+                elif kind in barred:
+                    after = [NOT, barred[kind], after]
+                elif kind == "group":
+                    after = build(item[1][0], after) if len(item[1]) == 1 else [CHOICE, [build(s, after) for s in item[1]], None]
+                elif kind == "?":
+                    after = [CHOICE, [*(build(s, after) for s in item[1]), after], None]
+                else:
+                    loop: list = [CHOICE, None, None]
+                    loop[1] = [*(build(s, loop) for s in item[1]), after]
+                    after = loop if kind == "*" else [CHOICE, [build(s, loop) for s in item[1]], None]
+            return after
+
+        starts = [[build(s, None) for s in alts] for alts in trees.values()]
+        first, nullable, changed = [0] * len(starts), [False] * len(starts), True
+
+        def look(slot: list | None, been: set[int]) -> tuple[int, bool]:
+            """The tokens that can come first, and whether the slot can end without any."""
+            mask = 0
+            while slot is not None:
+                op, arg, after = slot
+                if op == TERMINAL:
+                    return mask | arg, False
+                if op == END or op == LINE:
+                    return mask | (1 if op == END else NEW_LINE), False
+                if op == CHOICE:
+                    if id(slot) in been:
+                        return mask, False
+                    ways = [look(s, been | {id(slot)}) for s in arg]
+                    return mask | _any(w for w, _ in ways), any(e for _, e in ways)
+                if op == NONTERMINAL:
+                    mask |= first[arg]
+                    if not nullable[arg]:
+                        return mask, False
+                slot = after
+            return mask, True
 
-    def _link(self) -> None:
-        names = list(self._alts)
-        index = {n: i for i, n in enumerate(names)}
-        nullable, first, changed = set(), {n: 0 for n in names}, True
         while changed:
             changed = False
-            for n in names:
-                for alt in self._alts[n]:
-                    f, empty = self._first(alt, nullable, first)
-                    if empty and n not in nullable:
-                        nullable.add(n)
-                        changed = True
-                    if f | first[n] != first[n]:
-                        first[n] |= f
-                        changed = True
-        self.rules: list[list[tuple[int, tuple | None]]] = []
-        for n in names:
-            rows = []
-            for alt in self._alts[n]:
-                f, empty = self._first(alt, nullable, first)
-                slot = None
-                for item in reversed(alt):
-                    slot = (0, item[1], slot) if item[0] == "t" else (2, 0, slot) if item[0] == "end" else (1, index[item[1]], slot)
-                rows.append((-1 if empty else f, slot))
-            self.rules.append(rows)
-        self.index = index
-
-    def _first(self, alt, nullable, first) -> tuple[int, bool]:
-        f = 0
-        for item in alt:
-            if item[0] == "t":
-                return f | item[1], False
-            if item[0] == "end":
-                return f | 1, False
-            f |= first[item[1]]
-            if item[1] not in nullable:
-                return f, False
-        return f, True
+            for i, alts in enumerate(starts):
+                ways = [look(s, set()) for s in alts]
+                new = (_any(w for w, _ in ways), any(e for _, e in ways))
+                if new != (first[i], nullable[i]):
+                    first[i], nullable[i], changed = *new, True
+
+        def seen(slots: list) -> list[tuple[int, list | None]]:
+            return [(-1 if empty else mask, s) for s in slots for mask, empty in [look(s, set())]]
+
+        todo, done, choices = [s for alts in starts for s in alts if s is not None], set(), []
+        while todo:
+            slot = todo.pop()
+            if id(slot) in done:
+                continue
+            done.add(id(slot))
+            if slot[0] == CHOICE:
+                choices.append((slot, seen(slot[1])))
+                todo += [s for s in slot[1] if s is not None]
+            elif slot[2] is not None:
+                todo.append(slot[2])
+        self.rules = [seen(alts) for alts in starts]
+        for slot, ways in choices:
+            slot[1] = ways
+
+
+def _any(masks) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
 
 
 def derive(rules: list, start: int, toks: list[int] | tuple[int, ...], at: int) -> tuple[set[int], int]:
@@ -127,6 +165,7 @@ def derive(rules: list, start: int, toks: list[int] | tuple[int, ...], at: int)
     root: list = [set(), []]
     nodes = {(start, at): root}
     seen = at
+    been: set[tuple[int, int, int]] = set()
     todo = [(slot, root, at) for f, slot in rules[start] if f < 0 or f & toks[at]]
     while todo:
         slot, node, pos = todo.pop()
@@ -151,13 +190,23 @@ def derive(rules: list, start: int, toks: list[int] | tuple[int, ...], at: int)
                     break
                 pos += 1
                 slot = after
+            elif op == 4:
+                key = (id(slot), id(node), pos)
+                if key in been:
+                    break
+                been.add(key)
+                ways = [s for f, s in arg if f < 0 or f & t]
+                if not ways:
+                    break
+                for s in ways[1:]:
+                    todo.append((s, node, pos))
+                slot = ways[0]
             elif op == 1:
                 key = (arg, pos)
                 n = nodes.get(key)
                 if n is not None:
-                    ret = (after, node)
                     if not any(r is after and p is node for r, p in n[1]):
-                        n[1].append(ret)
+                        n[1].append((after, node))
                         for e in n[0]:
                             todo.append((after, node, e))
                     break
@@ -168,6 +217,18 @@ def derive(rules: list, start: int, toks: list[int] | tuple[int, ...], at: int)
                 for s in ways[1:]:
                     todo.append((s, n, pos))
                 slot, node = ways[0], n
+            elif op == 3:
+                if not t & 2:
+                    break
+                slot = after
+            elif op == 5:
+                if t & 2:
+                    break
+                slot = after
+            elif op == 6:
+                if t & arg:
+                    break
+                slot = after
             else:
                 if t != 1:
                     break

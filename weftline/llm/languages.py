@@ -1,10 +1,16 @@
-"""Grammars and lexers of the languages whose files are checked; each with its dialects."""
+"""Grammars and lexers of the languages whose files are checked.
+
+A language's dialects are alternatives of one grammar, tried together on the shared stack: scripts and modules,
+sloppy and strict code (JavaScript, TypeScript), implementation and declaration files (TypeScript), classic and
+compact compilation units and module declarations (Java), all minor versions of Python 3 up to 3.13. Words that are
+reserved in some dialects only are keyword and name at once.
+"""
 
 from __future__ import annotations
 
 import re
 
-from weftline.llm.gll import Grammar, Recognizer
+from weftline.llm.gll import NEW_LINE, Grammar, Recognizer, _any, derive
 
 
 class Invalid(Exception):
@@ -22,48 +28,48 @@ items = ( value ( ',' value )* )?
 # --- JavaScript and TypeScript ---------------------------------------------
 
 _ECMA = r"""
-item = NL | stmt
-eos = ';' | NL | $
-stmt = ';' | B{body} | simple eos | decl | 'if' P{expr} NL? stmt ( NL? 'else' NL? stmt )? | 'for' 'await'? P{forhead} NL? stmt | 'while' P{expr} NL? stmt | 'do' NL? stmt NL? 'while' P{expr} eos?
-  | 'try' B{body} ( NL? 'catch' P{params}? NL? B{body} )? ( NL? 'finally' NL? B{body} )? | 'switch' P{expr} NL? B{cases} | ID ':' NL? stmt | 'import' importing eos | 'export' exporting
-simple = expr | vardecl | 'return' expr? | 'throw' expr | 'break' ID? | 'continue' ID? | 'debugger'
-vardecl = ( 'var' | 'let' | 'const' ) binding ( ',' binding )*
+stmt = ';' | B{body} | & simple eos | decl | 'if' P{expr} stmt ( 'else' stmt )? | 'for' 'await'? P{forhead} stmt | 'while' P{expr} stmt | 'do' stmt 'while' P{expr} ';'?
+  | 'try' B{body} ( 'catch' P{params}? B{body} ( 'finally' B{body} )? | 'finally' B{body} ) | 'switch' P{expr} B{cases} | 'with' P{expr} stmt | ID ':' stmt | 'import' importing eos | decorator* 'export' exporting | more_stmt
+eos = ';' | ~ | $
+simple = expr | vardecl | 'return' ( ^ expr )? | 'throw' ^ expr | ( 'break' | 'continue' ) ( ^ ID )? | 'debugger'
+vardecl = ( 'var' | 'let' | 'await'? 'using' ) binding ( ',' binding )* | 'const' constant ( ',' constant )*
 binding = target '!'? annotation? ( '=' assign )?
 target = ID | B{object} | K{elements}
-decl = 'async'? 'function' '*'? ID typeparams? P{params} annotation? NL? B{body} | decorator* 'abstract'? 'class' ID typeparams? heritage NL? B{classbody}
+decl = 'async'? 'function' '*'? ID typeparams? P{params} annotation? ( B{body} | bodiless ) | decorator* classmark? 'class' ID typeparams? heritage B{classbody}
 heritage = ( 'extends' postfix typeargs? )? implementing
-decorator = '@' postfix NL?
-importing = STR | importclause 'from' STR withclause? | importmeta
-importmeta = '.' NAME suffix* | P{args} suffix*
+decorator = '@' postfix
+importing = STR withclause? | importclause 'from' STR withclause?
+importmeta = '.' NAME | P{args}
 importclause = ID ( ',' ( B{names} | '*' 'as' ID ) )? | B{names} | '*' 'as' ID
 withclause = ( 'with' | 'assert' ) B{object}
 names = ( name ( ',' name )* ','? )?
-name = NAME ( 'as' ( NAME | STR ) )? | STR ( 'as' NAME )?
+name = NAME ( 'as' ( NAME | STR ) )? | STR ( 'as' ( NAME | STR ) )? | more_name
 exporting = 'default' ( anonymous | assign eos ) | decl | vardecl eos | B{names} ( 'from' STR withclause? )? eos | '*' ( 'as' ( NAME | STR ) )? 'from' STR withclause? eos
-anonymous = 'async'? 'function' '*'? ID? typeparams? P{params} annotation? B{body} | decorator* 'abstract'? 'class' ID? typeparams? heritage B{classbody}
-caseitem = NL | 'case' expr ':' | 'default' ':' | stmt
+anonymous = 'async'? 'function' '*'? ID? typeparams? P{params} annotation? ( B{body} | bodiless ) | decorator* classmark? 'class' ID? typeparams? heritage B{classbody}
+caseitem = 'case' expr ':' | 'default' ':' | stmt
 expr = assign ( ',' assign )*
-assign = unary ( operator unary )* ( '?' assign ':' assign )? | unary ( operator unary )* asg assign | arrow | unary ( operator unary )* operator arrow | 'yield' ( '*'? assign )?
+assign = binary ( '?' assign ':' assign )? | postfix cast* asg assign | arrow | 'yield' ( ^ '*'? assign )?
 asg = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | '>' '>=' | '>' '>' '>='
+binary = unary cast* ( operator unary cast* )*
 operator = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '>' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
-unary = ( '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' )* postfix ( '++' | '--' )? cast*
-postfix = primary suffix* | 'new' '.' NAME suffix*
-suffix = '.' ( NAME | PRIVATE ) | '?.' ( NAME | PRIVATE | P{args} | K{expr} ) | P{args} | K{expr} | template
+unary = ( '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | more_prefix )* postfix ( ^ ( '++' | '--' ) )?
+postfix = primary suffix*
+suffix = '.' ( NAME | PRIVATE ) | '?.' ( NAME | PRIVATE | P{args} | K{expr} ) | P{args} | K{expr} | template | more_suffix
 template = TPL T{expr}*
-primary = ID | NUM | STR | REGEX | PRIVATE | template | P{expr} | K{elements} | B{object} | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' newtarget | 'import' importmeta
-  | 'async'? 'function' '*'? ID? typeparams? P{params} annotation? B{body} | 'class' ID? typeparams? heritage B{classbody}
-newtarget = primary ( '.' NAME | K{expr} )* typeargs? P{args}?
-arrow = 'async'? ( ID | typeparams? P{params} annotation? ) '=>' ( B{body} | assign )
+primary = ID | NUM | STR | REGEX | PRIVATE | template | P{expr} | K{elements} | B{object} | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' ( newtarget | '.' NAME ) | 'import' importmeta
+  | 'async'? 'function' '*'? ID? typeparams? P{params} annotation? B{body} | decorator* 'class' ID? typeparams? heritage B{classbody}
+newtarget = primary ( '.' ( NAME | PRIVATE ) | K{expr} | template | more_callee )* typeargs? P{args}?
+arrow = 'async'? ( ID | typeparams? P{params} annotation? ) ^ '=>' ( B{body} | % assign )
 args = ( arg ( ',' arg )* ','? )?
 arg = '...'? assign
-elements = ','* ( arg ( ','+ arg )* ','* )?
+elements = ( ','* arg ( ','+ arg )* )? ','*
 object = ( prop ( ',' prop )* ','? )?
-prop = key ':' assign | ID ( '=' assign )? | '...' assign | ( 'async' | 'get' | 'set' )? '*'? key typeparams? P{params} annotation? B{body}
+prop = key ':' assign | ID ( '=' assign )? | '...' assign | ( 'async' | 'get' | 'set' )? '*'? key optional? typeparams? P{params} annotation? B{body}
 key = NAME | STR | NUM | K{expr}
 params = ( param ( ',' param )* ','? )?
-param = decorator* modifier* ( '...'? target | 'this' ) '?'? annotation? ( '=' assign )?
-forhead = ( vardecl | expr )? ';' expr? ';' expr? | ( ( 'var' | 'let' | 'const' ) target | expr ) ( 'of' assign | 'in' expr )
-member = NL | ';' | decorator* modifier* ( 'async' | 'get' | 'set' )? '*'? mkey typeparams? P{params} annotation? ( NL? B{body} | bodiless ) | decorator* modifier* mkey ( '?' | '!' )? annotation? ( '=' assign )? eos | 'static' B{body} | modifier* K{indexer} annotation eos
+param = decorator* modifier* ( '...'? target | 'this' ) optional? annotation? ( '=' assign )?
+forhead = ( vardecl | expr )? ';' expr? ';' expr? | ( ( 'var' | 'let' | 'const' | 'await'? 'using' ) target annotation? | expr ) ( 'of' assign | 'in' expr )
+member = ';' | decorator* modifier* ( 'async' | 'get' | 'set' )? '*'? mkey optional? typeparams? P{params} annotation? ( B{body} | bodiless ) | decorator* modifier* mkey ( optional | '!' )? annotation? ( '=' assign )? eos | 'static' B{body} | more_member
 mkey = key | PRIVATE
 """
 _JS_ONLY = r"""
@@ -71,36 +77,55 @@ annotation = NEVER
 typeparams = NEVER
 typeargs = NEVER
 implementing = ( NEVER )?
-modifier = 'static'
+modifier = 'static' | 'accessor'
+constant = target '=' assign
+classmark = NEVER
+optional = NEVER
 cast = NEVER
 bodiless = NEVER
-indexer = NEVER
+more_stmt = NEVER
+more_name = NEVER
+more_prefix = NEVER
+more_suffix = NEVER
+more_callee = NEVER
+more_member = NEVER
 """
 _TS_ONLY = r"""
-annotation = '?'? ':' ( 'asserts'? ( ID | 'this' ) ( 'is' type )? | type )
+annotation = ':' returned
+returned = 'asserts' ( ID | 'this' ) ( 'is' type )? | ( ID | 'this' ) 'is' type | type
 typeparams = '<' typeparam ( ',' typeparam )* ','? '>'
 typeparam = ( 'const' | 'in' | 'out' )* ID ( 'extends' type )? ( '=' type )?
-typeargs = '<' type ( ',' type )* '>'
+typeargs = '<' type ( ',' type )* ','? '>'
 implementing = ( 'implements' typename ( ',' typename )* )?
+constant = binding
 modifier = 'static' | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'override' | 'accessor'
-cast = ( 'as' | 'satisfies' ) ( type | 'const' ) | '!'
+classmark = 'abstract'
+optional = '?'
+cast = ( 'as' | 'satisfies' ) ( type | 'const' )
 bodiless = eos
+more_name = 'type' NAME ( 'as' ( NAME | STR ) )? | 'type' STR 'as' NAME
+more_prefix = '<' ( type | 'const' ) '>'
+more_suffix = ^ '!' | typeargs ( P{args} | template )? | '?.' typeargs P{args}
+more_callee = ^ '!'
+more_member = modifier* K{indexer} annotation? eos
 indexer = ID ':' type | ID 'in' type ( 'as' type )?
-suffix_ts = '!' | typeargs P{args} | typeargs template
-stmt_ts = 'type' ID typeparams? '=' type eos | 'interface' ID typeparams? ( 'extends' typename ( ',' typename )* )? NL? B{typebody} | 'const'? 'enum' ID NL? B{enumbody} | 'declare' ( stmt | stmt_ts | 'function' ID typeparams? P{params} annotation? eos | 'global' B{body} )
-  | ( 'namespace' | 'module' ) ( ID ( '.' ID )* | STR ) B{body} | 'async'? 'function' '*'? ID typeparams? P{params} annotation? eos | 'import' 'type' importclause 'from' STR eos | 'import' ID '=' expr eos
-  | 'export' ( stmt_ts | 'type' B{names} ( 'from' STR )? eos | '=' expr eos | 'as' 'namespace' ID eos )
-type = tunion ( 'extends' tunion '?' type ':' type )? | typeparams? P{params} '=>' ( 'asserts'? ID ( 'is' type )? | type ) | 'abstract'? 'new' typeparams? P{params} '=>' type
-tunion = ( '|' | '&' )? tone ( ( '|' | '&' ) tone )*
-tone = ( 'keyof' | 'readonly' | 'unique' | 'infer' )* tprimary K{tindex}*
-tprimary = typename | P{type} | B{typebody} | K{tuple} | STR | '-'? NUM | template | 'typeof' typename | 'this' | 'null' | 'true' | 'false' | 'void' | 'import' P{args} ( '.' NAME )* typeargs?
-typename = NAME ( '.' NAME )* typeargs?
+more_stmt = 'global' B{body} | 'type' ID typeparams? '=' type eos | interface | 'const'? 'enum' ID B{enumbody} | 'declare' ( more_stmt | decl | vardecl eos )
+  | ( 'namespace' | 'module' ) ( ID ( '.' ID )* | STR ) ( B{body} | eos ) | 'import' 'type' importclause 'from' STR withclause? eos | 'import' 'type'? ID '=' expr eos
+  | 'export' ( more_stmt | 'type' ( B{names} ( 'from' STR withclause? )? | '*' ( 'as' NAME )? 'from' STR withclause? ) eos | '=' expr eos | 'as' 'namespace' ID eos | 'default' interface )
+interface = 'interface' ID typeparams? ( 'extends' typename ( ',' typename )* )? B{typebody}
+type = union ( ^ 'extends' union '?' type ':' type )?
+union = ( '|' | '&' )? tone ( ( '|' | '&' ) tone )*
+tone = ( 'keyof' | 'readonly' | 'unique' )* tprimary ( ^ K{tindex} )* | 'infer' ID ( 'extends' union )? | typeparams? P{params} '=>' returned | 'abstract'? 'new' typeparams? P{params} '=>' type
+tprimary = typename | P{type} | B{typebody} | K{tuple} | STR | '-'? NUM | TPL T{type}* | 'typeof' ( typename | 'this' ( '.' NAME )* | typeimport ) | 'this' | 'null' | 'true' | 'false' | 'void' | typeimport
+typeimport = 'import' P{args} ( '.' NAME )* typeargs?
+typename = ID ( '.' NAME )* ( ^ typeargs )?
 tindex = type?
 tuple = ( titem ( ',' titem )* ','? )?
-titem = '...'? ( NAME '?'? ':' )? type '?'?
-typemember = NL | ';' | ',' | ( 'readonly' | '+' | '-' )* ( 'get' | 'set' )? key '?'? ( typeparams? P{params} )? annotation? tend | typeparams? P{params} annotation? tend | 'new' typeparams? P{params} annotation? tend | ( 'readonly' | '+' | '-' )* K{indexer} ( '+' | '-' )? '?'? annotation tend
-tend = ';' | ',' | NL | $
-enumbody = ( ( NAME | STR ) ( '=' assign )? ( ',' ( NAME | STR ) ( '=' assign )? )* ','? )?
+titem = '...'? ( NAME '?'? ':' )? '...'? type '?'?
+typemember = ';' | ',' | ( 'readonly' | '+' | '-' )* ( 'get' | 'set' )? key '?'? ( typeparams? P{params} )? annotation? tend | 'new'? typeparams? P{params} annotation? tend | ( 'readonly' | '+' | '-' )* K{indexer} ( '+' | '-' )? '?'? annotation? tend
+tend = ';' | ',' | ~ | $
+enumbody = ( enumitem ( ',' enumitem )* ','? )?
+enumitem = ( NAME | STR | K{expr} ) ( '=' assign )?
 """
 
 # --- Go ---------------------------------------------------------------------
@@ -158,8 +183,7 @@ value = expr | B{literal}
 # --- Java -------------------------------------------------------------------
 
 _JAVA = r"""
-item = ';' | 'package' name ';' | annotations 'package' name ';' | 'import' 'static'? name ( '.' '*' )? ';' | typedecl | 'open'? 'module' name B{directives}
-scriptitem = item | member
+item = member | ';' | 'package' name ';' | annotations 'package' name ';' | 'import' 'static'? name ( '.' '*' )? ';' | typedecl | 'open'? 'module' name B{directives}
 name = ID ( '.' ID )*
 directive = ( 'requires' | 'exports' | 'opens' | 'uses' | 'provides' ) ( 'static' | 'transitive' )* name ( ( 'to' | 'with' ) name ( ',' name )* )? ';'
 annotations = annotation+
@@ -306,14 +330,11 @@ casestmt = CASE
 
 
 def _ecma(extra: str) -> Grammar:
-    text = _ECMA.strip() + "\n" + extra.strip()
-    if "stmt_ts" in extra:
-        text = text.replace("\nstmt = ';'", "\nstmt = stmt_ts | ';'", 1).replace("\nsuffix = '.' NAME", "\nsuffix = suffix_ts | '.' NAME", 1)
-    # contents that are lists of items
-    return Grammar(text + "\nbody = NEVER\ncases = NEVER\nclassbody = NEVER\ntypebody = NEVER\n")
+    # contents that are lists of statements or members
+    return Grammar(_ECMA.strip() + "\n" + extra.strip() + "\nbody = NEVER\ncases = NEVER\nclassbody = NEVER\ntypebody = NEVER\n")
 
 
-_WORDS_JS = frozenset("await break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield".split())
+_WORDS_JS = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
 _WORDS_GO = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _WORDS_JAVA = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split())
 _WORDS_PY = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
@@ -367,8 +388,9 @@ class Language:
                 return got or bits.get(kind, 0)
         return got
 
-    def fold(self, masks: list[int], can_end: int = 0, can_start: int = 0, newline: int = 0) -> list[int]:
-        """Replace each bracket with its mask; ``newline`` tokens stay only between an end and a start of a statement."""
+    def fold(self, masks: list[int], can_end: int = 0, goes_on: int = 0, newline: int = 0) -> list[int]:
+        """Replace each bracket with its mask. A token that begins a line is marked with ``NEW_LINE`` where statements
+        stand, if the token before may end one (``can_end``) and it does not itself only go on with one (``goes_on``)."""
         rec, stack, cur, bracket, prev, nl = self.rec, [], [], "", 0, False
         for m in masks:
             if m > 0:
@@ -377,17 +399,18 @@ class Language:
                     continue
                 if nl:
                     nl = False
-                    if prev & can_end and m & can_start and bracket not in ("P", "K", "T"):
-                        cur.append(newline)
+                    if prev & can_end and not m & goes_on and (bracket == "B" or not bracket):
+                        cur.append(m | NEW_LINE)
+                        prev = m
+                        continue
                 cur.append(m)
                 prev = m
             elif m == BAD:
                 raise Invalid("a character that starts no token")
             elif m > -5:
-                if nl and m == -3 and prev & can_end and bracket not in ("P", "K", "T"):
-                    cur.append(newline)
+                mark = NEW_LINE if nl and prev & can_end and (bracket == "B" or not bracket) else 0
                 nl = False
-                stack.append((cur, bracket))
+                stack.append((cur, bracket, mark))
                 cur, bracket, prev = [], _BRACKET[m], 0
             else:
                 nl = False
@@ -396,8 +419,8 @@ class Language:
                 got = rec.content(bracket, cur)
                 if not got:
                     raise Invalid("the content of a bracket")
-                cur, bracket = stack.pop()
-                cur.append(got)
+                cur, bracket, mark = stack.pop()
+                cur.append(got | mark)
                 prev = -1 if can_end else 0  # every bracket may end a statement
         if stack:
             raise Invalid("a bracket that is not closed")
@@ -422,12 +445,18 @@ _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*
 _GO_TOKEN = re.compile(rf"(?:[ \t\r]+|//[^\n]*|/\*[^\n]*?\*/)*(\n|{_BLOCK}|{_ID}|{_NUMBER}i?(?!\w)|{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'|>>=|>>|{_OPS_RE}|[\s\S]|\Z)")
 _JAVA_TOKEN = re.compile(rf'(?:\s+|//[^\n]*|{_BLOCK})*({_ID}|(?:{_NUMBER}|0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+)[lLfFdD]?(?!\w)|"""[ \t\f\r]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_DQ}|' + r"'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'" + rf"|{_OPS_RE}|[\s\S]|\Z)")
 _JSON_TOKEN = re.compile(r'[ \t\r\n]*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[{}\[\]:,]|true\b|false\b|null\b|NaN\b|-?Infinity\b|[\s\S]|\Z)')
-_PY_FIELD = r"\{(?:[^{}\"']|\"[^\"\n{}]*\"|'[^'\n{}]*')*\}"  # may hold line ends and any quotes
+_PY_INNER = r"\{[^{}\"'\n]*\}"
+_PY_FIELD = rf"\{{(?:[^{{}}\"']|\"(?:[^\"\n{{}}]|{_PY_INNER})*\"|'(?:[^'\n{{}}]|{_PY_INNER})*'|{_PY_INNER})*\}}"  # may hold line ends and any quotes
 _PY_STRING = (
     r"(?:(?:[fF]|[rR][fF]|[fF][rR])(?:(?!\"\"\")\"(?:[^\"\\\n{]|\\[\s\S]|" + _PY_FIELD + r"|\{)*\"|(?!''')'(?:[^'\\\n{]|\\[\s\S]|" + _PY_FIELD + r"|\{)*')"
     r"|(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'(?:[^'\\\n]|\\[\s\S])+'|''(?!')|\"(?:[^\"\\\n]|\\[\s\S])+\"|\"\"(?!\")))"
 )
-_PY_NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_.eEjJ])|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?(?<!\b0\d)[jJ]?))(?![\w])"
+_PY_DIGITS = r"\d(?:_?\d)*"
+_PY_EXPONENT = rf"[eE][+-]?{_PY_DIGITS}"
+_PY_NUMBER = (
+    r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+"
+    rf"|(?:(?:{_PY_DIGITS})?\.{_PY_DIGITS}|{_PY_DIGITS}\.)(?:{_PY_EXPONENT})?[jJ]?|{_PY_DIGITS}(?:{_PY_EXPONENT}[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?!\w)"
+)
 _PY_OPS = "|".join(re.escape(o) for o in sorted("**= //= >>= <<= ... := -> ** // >> << <= >= == != += -= *= /= %= &= |= ^= @= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; =".split(), key=len, reverse=True))
 _PY_TOKEN = re.compile(rf"(?:[ \t\f]+|\\\r?\n|#[^\n]*|\r(?=\n))*(\n[ \t\f]*|{_PY_STRING}|[^\W\d]\w*|{_PY_NUMBER}|{_PY_OPS}|[\s\S]|\Z)")
 
@@ -445,56 +474,74 @@ def _js_slow(lang: Language, text: str) -> list[str]:
     """Tokens of a text with regex literals or template holes."""
     out: list[str] = []
     at, n = 0, len(text)
-    depth: list[int] = []  # open curly brackets at each template hole
+    holes: list[int] = []  # open curly brackets at each template hole
+    opened: list[bool] = []  # for each open bracket: whether a slash after its end divides
+    prev, divides = "", False
     while at < n:
         m = _JS_TOKEN.match(text, at)
         tok = m.group(1)
         start = m.start(1)
         if not tok:
             break
-        if tok in ("/", "/="):
-            prev = next((t for t in reversed(out) if t != "\n"), "")
-            operand = prev and (prev in (")", "]", "}") or prev[0].isalnum() or prev[0] in "_$\"'`#") and prev not in _JS_BEFORE_REGEX
-            if not operand:
-                r = _JS_REGEX.match(text, start)
-                if r:
-                    out.append("/re/")
-                    at = r.end()
-                    continue
-        if tok == "}" and depth and depth[-1] == 0:
-            depth.pop()
-            out.append("}$")
-            at = _template(text, start + 1, out, depth)
-            continue
-        if tok == "`":
-            out.append("``")
-            at = _template(text, start + 1, out, depth)
+        if tok in ("/", "/=") and not divides:
+            r = _JS_REGEX.match(text, start)
+            if r:
+                out.append("/re/")
+                at, prev, divides = r.end(), "/re/", True
+                continue
+        if tok == "`" or tok == "}" and holes and holes[-1] == 0:
+            if tok == "}":
+                holes.pop()
+            out.append("``" if tok == "`" else "}$")
+            at, hole = _template(text, start + 1)
+            prev, divides = "`", not hole
+            if hole:
+                out.append("${")
+                holes.append(0)
             continue
-        if depth:
-            depth[-1] += (tok == "{") - (tok == "}")
-        out.append(tok)
         at = m.end()
-    if depth:
+        out.append(tok)
+        if tok == "\n":
+            continue
+        if tok in ("(", "[", "{"):
+            if holes and tok == "{":
+                holes[-1] += 1
+            # a condition's bracket is followed by a statement, and so is a block
+            opened.append(prev not in _JS_HEADS if tok == "(" else tok == "[" or prev in _JS_BEFORE_OBJECT)
+            divides = False
+        elif tok in (")", "]", "}"):
+            if holes and tok == "}":
+                holes[-1] -= 1
+            divides = opened.pop() if opened else True
+        elif tok in ("++", "--"):
+            pass  # as before it: a sign after an operand divides
+        else:
+            divides = (tok[0].isalnum() or tok[0] in "_$\"'`#." or ord(tok[0]) > 127) and tok not in _JS_BEFORE_REGEX and tok not in (".", "...") or prev == "." and tok[0].isalpha()
+        prev = tok
+    if holes:
         raise Invalid("a template that is not closed")
     return out
 
 
 _JS_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
+_JS_HEADS = frozenset("if while for with".split())
+_JS_BEFORE_OBJECT = frozenset("= ( [ , ? : return typeof in of && || ?? + - ! += == === != !== ... case throw".split())
 _TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 
 
-def _template(text: str, at: int, out: list[str], depth: list[int]) -> int:
+def _template(text: str, at: int) -> tuple[int, bool]:
+    """Where the next hole of a template or the template ends, and whether it is a hole."""
     m = _TEMPLATE_PART.match(text, at)
     if not m:
         raise Invalid("a template that is not closed")
-    if m.group(1) == "${":
-        out.append("${")
-        depth.append(0)
-    return m.end()
+    return m.end(), m.group(1) == "${"
 
 
 def _ecma_masks(lang: Language, text: str) -> list[int]:
-    toks = _tokens(_JS_TOKEN, text[text.index("\n") :] if text.startswith("#!") and "\n" in text else text)
+    text = text.lstrip("\ufeff")
+    if text.startswith("#!"):
+        text = text[text.find("\n") :] if "\n" in text else ""
+    toks = _tokens(_JS_TOKEN, text)
     if "`" in toks or "/" in toks or "/=" in toks:
         toks = _js_slow(lang, text)
     return [lang.mask(t) for t in toks]
@@ -502,7 +549,7 @@ def _ecma_masks(lang: Language, text: str) -> list[int]:
 
 def _check_ecma(lang: Language, text: str) -> bool:
     b = lang.g.bits
-    folded = lang.fold(_ecma_masks(lang, text), lang.can_end, lang.can_start, b["NL"])
+    folded = lang.fold(_ecma_masks(lang, text), lang.can_end, lang.goes_on, b["NL"])
     return lang.check("program", folded)
 
 
@@ -529,7 +576,7 @@ def _check_go(lang: Language, text: str) -> bool:
 def _check_java(lang: Language, text: str) -> bool:
     toks = _tokens(_JAVA_TOKEN, text.lstrip("﻿"))
     folded = lang.fold([lang.mask(t) for t in toks])
-    return lang.check("unit", folded) or lang.check("script", folded)
+    return lang.check("unit", folded)
 
 
 def _check_json(lang: Language, text: str) -> bool:
@@ -622,7 +669,7 @@ class _Python(Language):
         if self.rec.accepts("decorator", whole):
             return "DEC", True
         for head in _PY_HEADS:
-            ends, _ = g_derive(g, head, whole)
+            ends, _ = derive(g.rules, g.index[head], whole, 0)
             for e in sorted(ends, reverse=True):
                 if whole[e - 1] & colon:
                     if e == len(key):
@@ -632,12 +679,6 @@ class _Python(Language):
         return None, False
 
 
-def g_derive(g: Grammar, name: str, toks: tuple[int, ...]):
-    from weftline.llm.gll import derive
-
-    return derive(g.rules, g.index[name], toks, 0)
-
-
 def _check_python(lang: _Python, text: str) -> bool:
     toks = _tokens(_PY_TOKEN, text.lstrip("﻿") + "\n")
     masks = lang.mask
@@ -725,29 +766,22 @@ def _build(suffix: str) -> tuple:
             lang.can_end |= b["'" + w]
         return lang, _check_go
     if suffix == "java":
-        lists = {"unit": "item", "script": "scriptitem", "classbody": "member", "block": "stmt", "cases": "caseitem", "directives": "directive"}
+        lists = {"unit": "item", "classbody": "member", "block": "stmt", "cases": "caseitem", "directives": "directive"}
         lang = Language(Grammar(_JAVA + "".join(f"\n{x} = NEVER" for x in ("classbody", "block", "cases", "directives"))), lists, _WORDS_JAVA, {"0123456789.": "NUM", '"': "STR", "'": "CHR"})
         return lang, _check_java
     ts = suffix == "ts"
-    lists = {"program": "item", "body": "item", "cases": "caseitem", "classbody": "member"} | ({"typebody": "typemember"} if ts else {})
+    lists = {"program": "stmt", "body": "stmt", "cases": "caseitem", "classbody": "member"} | ({"typebody": "typemember"} if ts else {})
     lang = Language(_ecma(_TS_ONLY if ts else _JS_ONLY), lists, _WORDS_JS, {"0123456789.": "NUM", "\"'": "STR", "`": "TPL", "#": "PRIVATE"})
     b = lang.g.bits
+    lang.g.bit("NL")
     lang.masks |= {"/re/": b["REGEX"]}
     lang.masks["#"] = BAD
-    lang.can_end = lang.can_start = 0
-    for c in ("ID", "NUM", "STR", "TPL", "REGEX"):
-        lang.can_end |= b[c]
-    for w in "this super null true false return break continue debugger yield ++ --".split():
-        lang.can_end |= b.get("'" + w, 0)
-    for k, inner in ((k, x) for k in "PKBT" for x in lang.g.groups[k]):
-        lang.can_end |= b[f"{k}{{{inner}}}"]
-    for c in ("ID", "NUM", "STR", "REGEX", "NAME", "PRIVATE"):
-        lang.can_start |= b.get(c, 0)
-    for w in "++ -- @ ; ! ~ ...".split():
-        lang.can_start |= b.get("'" + w, 0)
-    # reserved words that go on with the line before; they start no statement
-    for w in ("else", "catch", "finally", "in", "instanceof", "extends"):
-        lang.masks[w] = b.get("'" + w, 0)
+    ends = "this super null true false return break continue debugger ++ --".split() + (["!", ">", "void", "const"] if ts else [])
+    lang.can_end = _any(b[c] for c in ("ID", "NUM", "STR", "TPL", "REGEX", "PRIVATE", "NAME")) | _any(b["'" + w] for w in ends)
+    lang.can_end |= _any(b[f"{k}{{{inner}}}"] for k in "PKBT" for inner in lang.g.groups[k])
+    # what stands only inside of a statement or member
+    on = ". ?. , : ? = => += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= == != === !== <= >= << % & | ^ && || ?? instanceof extends".split() + ([] if ts else ["<", ">"])
+    lang.goes_on = _any(b.get("'" + w, 0) for w in on)
     return lang, _check_ecma
 
 
