@@ -154,6 +154,23 @@ class TestSplit:
                 at = r["char_end"]
             assert at == len(t) and [r["n_pieces"] for r in rows] == [len(rows)] * len(rows)
 
+    def test_long_text_takes_linear_time(self, spark):
+        line = "def f(x):\n    return x + 1 é\n\n"
+        took = []
+        for n in (1, 40_000, 400_000):
+            df = spark.createDataFrame([("a", line * n + "y" * 3000, 0)], "id string, content string, start_line int")
+            began = time.time()
+            r = split_oversized.split_oversized(df).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max("end_line").alias("last"), F.max("tokens").alias("most")).first()
+            took.append(time.time() - began)
+            assert r["last"] == 3 * n and r["most"] <= 500 and r["chars"] >= len(line) * n + 3000
+        assert took[2] < 20 * max(took[1], 1.0)
+
+    def test_overlap_over_several_pieces(self, spark):
+        text = "".join(f"w{i:04d} " if i % 7 else ".\n" for i in range(3000))
+        rows = self.pieces(spark, {"a": text}, limit_tokens=200, overlap_tokens=100)["a"]
+        assert all(r["content"] == text[r["char_start"] : r["char_end"]] and len(r["content"]) <= 803 for r in rows)
+        assert "".join(r["content"][r["core_start"] - r["char_start"] :] for r in rows) == text
+
     def test_borders(self, spark):
         body = "\n".join(f"    x{i} = {i}" for i in range(60))
         got = self.pieces(spark, {"a": f"def f():\n{body}\n" * 10})["a"]

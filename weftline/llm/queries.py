@@ -43,7 +43,9 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
+    """Chunks of which every line and character came out in two or more pieces within the limit."""
+    per = p3_pieces(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"), F.max("n_pieces").alias("wanted"), F.max("tokens").alias("largest"), F.countDistinct("core_start").alias("cuts"), F.max("end_line").alias("_last"))
+    return per.where("n > 1 AND n = wanted AND cuts = n AND largest <= 500 AND _last IS NOT NULL").select("id")
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 One ``regexp_extract_all`` consumes the text from left to right. Its alternatives
 stand in order of boundary strength and each takes as many characters as the
 limit allows; the last one takes characters regardless of boundaries. Positions,
-line ranges and the overlap (a lookback into the text before the piece) come from
-SQL array functions, so all the work stays in the JVM.
+line ranges and the overlap (a lookback into the pieces before) come from SQL array
+functions, so all the work stays in the JVM. The time is linear in the length of a
+text: no row after the cut carries more than a piece and its overlap.
 """
 
 from __future__ import annotations
@@ -66,42 +67,54 @@ def split_oversized(
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), first_line.alias("_line")).where(
         F.expr(f"length(_t) div {chars_per_token} > {limit_tokens}")
     )
-    cut = src.withColumn("_p", F.regexp_extract_all("_t", F.lit(boundary_pattern(core)), F.lit(0)))
-    # running (end offset, lines before) for each piece
-    cut = cut.withColumn(
-        "_at",
-        F.expr(
-            """aggregate(_p, array(named_struct('s', 0, 'e', 0, 'l', 0)),
-                 (acc, x) -> concat(acc, array(named_struct(
-                    's', element_at(acc, -1).e,
-                    'e', element_at(acc, -1).e + length(x),
-                    'l', element_at(acc, -1).l + length(x) - length(replace(x, '\n', ''))))))"""
-        ),
-    )
+    cut = src.withColumn("_p", F.regexp_extract_all("_t", F.lit(boundary_pattern(core)), F.lit(0))).select("id", "_line", "_p", *_starts("_p"))
+    # a lookback may reach over several pieces, of which all but the last have a quarter of the core at least
+    back = 1 + -(-over // max(1, core // 4))
+    tail = f"concat({', '.join(f'coalesce(get(_p, i - {k}), {_EMPTY})' for k in range(back, 0, -1))})"
     rows = cut.select(
-        "id", "_t", "_line", F.size("_p").alias("n_pieces"),
-        F.posexplode(F.expr("transform(slice(_at, 2, size(_at)), (x, i) -> named_struct('s', x.s, 'e', x.e, 'before', _at[i].l))")).alias("piece_no", "_r"),
-    )
-    look = F.expr(f"IF(piece_no = 0, '', substring(_t, greatest(_r.s - {over}, 0) + 1, least({over}, _r.s)))")
-    rows = rows.withColumn("_look", look).withColumn(
-        "_look", F.expr("CASE WHEN instr(_look, '\n') BETWEEN 1 AND length(_look) - 1 THEN substring(_look, instr(_look, '\n') + 1) ELSE _look END")
+        "id", "_line", F.size("_p").alias("n_pieces"),
+        F.posexplode(F.expr(f"transform(_p, (x, i) -> named_struct('core', x, 'look', right({tail}, {over}), 'at', _at[i]))")).alias("piece_no", "_r"),
     )
-    core_text = F.expr("substring(_t, _r.s + 1, _r.e - _r.s)")
+    line_start = F.expr(f"CASE WHEN instr(_r.look, {_BREAK}) BETWEEN 1 AND length(_r.look) - 1 THEN substring(_r.look, instr(_r.look, {_BREAK}) + 1) ELSE _r.look END")
+    rows = rows.select("id", "_line", "n_pieces", "piece_no", "_r.core", "_r.at", line_start.alias("look"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    return rows.withColumn("content", F.concat("_look", core_text)).select(
+    content = F.concat("look", "core")
+    return rows.select(
         "id",
         F.col("piece_no").cast("int").alias("piece_no"),
         F.col("n_pieces").cast("int").alias("n_pieces"),
-        "content",
-        (F.col("_r.s") - F.length("_look")).alias("char_start"),
-        F.col("_r.s").alias("core_start"),
-        F.col("_r.e").alias("char_end"),
-        (F.col("_line") + F.col("_r.before") - newlines(F.col("_look"))).alias("start_line"),
-        (F.col("_line") + F.col("_r.before") + newlines(F.expr("substring(_t, _r.s + 1, _r.e - _r.s - 1)"))).alias("end_line"),
-        F.expr(f"length(content) div {chars_per_token}").cast("int").alias("tokens"),
+        content.alias("content"),
+        (F.col("at.n") - F.length("look")).alias("char_start"),
+        F.col("at.n").alias("core_start"),
+        (F.col("at.n") + F.length("core")).alias("char_end"),
+        (F.col("_line") + F.col("at.l") - newlines(F.col("look"))).alias("start_line"),
+        (F.col("_line") + F.col("at.l") + newlines(F.expr("left(core, length(core) - 1)"))).alias("end_line"),
+        F.floor(F.length(content) / chars_per_token).cast("int").alias("tokens"),
     )
 
 
+_EMPTY, _BREAK = "''", r"'\n'"
+BLOCK_PIECES = 256
+
+
+def _starts(pieces: str) -> list:
+    """Column ``_at``: characters and lines before each piece. Running sums are taken within blocks of pieces and over the blocks,
+    so that no accumulator grows with the text."""
+    add = "named_struct('n', {0}.n + x.n, 'l', {0}.l + x.l)"
+    zero = "named_struct('n', 0, 'l', 0)"
+    sizes = f"transform({pieces}, x -> named_struct('n', length(x), 'l', length(x) - length(replace(x, {_BREAK}, {_EMPTY}))))"
+    blocks = f"transform(sequence(0, greatest((size({pieces}) - 1) div {BLOCK_PIECES}, 0)), b -> slice(_sizes, b * {BLOCK_PIECES} + 1, {BLOCK_PIECES}))"
+    running = lambda first, items: f"aggregate({items}, array({first}), (acc, x) -> concat(acc, array({add.format('element_at(acc, -1)')})))"
+    totals = f"transform(_blocks, b -> aggregate(b, {zero}, (acc, x) -> {add.format('acc')}))"
+    within = running("_firsts[k]", "slice(b, 1, size(b) - 1)")
+    whole = f"flatten(transform(_blocks, (b, k) -> {within}))"
+    # each step is a lambda over an array of one element, which names the step before
+    steps = [("_sizes", sizes), ("_blocks", blocks), ("_firsts", running(zero, totals))]
+    for name, value in reversed(steps):
+        whole = f"transform(array({value}), {name} -> {whole})[0]"
+    return [F.expr(whole).alias("_at")]
+
+
 def latest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the last by ``order`` (ties: any, they repeat the row)."""
     rest = [c for c in df.columns if c != key]
