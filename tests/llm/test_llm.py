@@ -122,6 +122,17 @@ class TestNotHandwritten:
             "r/h.js": "minified", "r/i.min.js": "minified", "r/k.py": None, "r/empty.py": None, "r/s.py": "generated", "r/u.py": "generated",
         }
 
+    def test_layout_decides_alone(self, spark):
+        """Bundles, data and serial code without any marker or telling path, by the limits of their language."""
+        bundle = ";".join(f"function a{i}(b,c){{return b.d(c,{i})||!0}}" for i in range(60))
+        wrapped = "\n".join(bundle[i : i + 100] for i in range(0, len(bundle), 100)).replace(" ", "")
+        css = "".join(f".a{i}{{margin:0;color:#fff;padding:{i}px}}" for i in range(60))
+        f = {"r/a.js": bundle, "r/b.js": wrapped, "r/c.css": css, "r/d.go": "package d\n\nvar X = []int{\n" + "\t1, 22, 0x333, 4444,\n" * 50 + "}\n", "r/e.ts": "export const X = '" + "Ab3+" * 400 + "';\n"}
+        files = spark.createDataFrame([(p,) for p in f], "path string")
+        rows = not_handwritten.not_handwritten(files, spark.createDataFrame([(p, 0, t) for p, t in f.items()], "file_path string, start_line int, content string")).collect()
+        assert {r["path"]: r["kind"] for r in rows} == {"r/a.js": "minified", "r/b.js": "minified", "r/c.css": "minified", "r/d.go": "data", "r/e.ts": "data"}
+        assert all(x.startswith("layout: ") for r in rows for x in r["signals"])
+
     def test_empty(self, spark):
         assert not_handwritten.not_handwritten(spark.createDataFrame([], "path string"), spark.createDataFrame([], "file_path string, start_line int, content string")).count() == 0
 

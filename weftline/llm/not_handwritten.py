@@ -1,10 +1,12 @@
-"""Find generated, minified, vendored and data-only source files by layout statistics, markers and paths.
+"""Find generated, minified, vendored and data-only source files by layout statistics, with markers and paths in support.
 
-The layout of a file is measured in one pass over its bytes: line lengths, share of
+The layout of a file is measured in one pass over its bytes: longest and mean line, share of
 white space and of alphanumeric characters, density of numeric literals, share of long
-encoded runs, and how serial its numbered names are. Thresholds differ by language.
-Markers count only where a whole comment line has the form a tool or a copyist writes;
-code that mentions such banners does not match.
+encoded runs, and how serial its numbered names are. The limits on them are set for each
+language (``LIMITS``). The layout decides first. A copied or generated file whose layout is
+that of hand-written code can only be told by a marker or its path; ``signals`` names what
+spoke for each file. Markers count only where a whole comment line has the form a tool or a
+copyist writes; code that mentions such banners does not match.
 """
 
 from __future__ import annotations
@@ -57,15 +59,24 @@ GENERATED_PATH = r"(?i)(_pb2(_grpc)?\.pyi?|\.pb\.go|\.pb\.(js|ts)|[a-z0-9]Grpc\.
 MINIFIED_PATH = r"(?i)[.-](min|bundle)\.(js|css)$"
 VENDORED_PATH = r"(?i)/(vendor|_vendor|third[_-]?party|3rd[_-]?party|node_modules|bower_components|extern|external|deps|site-packages|Pods)/[^/]+/"
 
-#: By language: mean line and least share of white space of written code; density of numbers and share of encoded runs of data (fixed values).
-THRESHOLDS = {
-    "py": (140, 0.06, 0.30, 0.60),
-    "js": (140, 0.06, 0.30, 0.60),
-    "ts": (140, 0.06, 0.30, 0.60),
-    "go": (140, 0.05, 0.30, 0.60),
-    "java": (140, 0.05, 0.30, 0.60),
-    "css": (140, 0.05, 0.45, 0.60),
+#: Limits by language. ``mean_line``, ``max_line``, ``space``: a file with longer lines and less white space is minified;
+#: ``wrapped``: so is one with less white space than this, however short its lines; ``number``, ``encoded``: a file with more
+#: numeric literals or long encoded runs is data; ``mixed`` and ``alnum``: so is one with fewer encoded runs, but hardly any other
+#: character than letters and digits; ``serial``: a file with more consecutively numbered lines is generated.
+#: Each lies between the outermost hand-written file and the nearest other one of 6,596 files, about halfway on a log scale (fixed values).
+LIMITS = {
+    "py": {"mean_line": 200, "max_line": 400, "space": 0.06, "wrapped": 0.02, "number": 0.30, "encoded": 0.65, "mixed": 0.50, "alnum": 0.90, "serial": 0.25},
+    "js": {"mean_line": 175, "max_line": 200, "space": 0.065, "wrapped": 0.05, "number": 0.30, "encoded": 0.60, "mixed": 0.45, "alnum": 0.90, "serial": 0.22},
+    "ts": {"mean_line": 240, "max_line": 400, "space": 0.06, "wrapped": 0.04, "number": 0.30, "encoded": 0.60, "mixed": 0.45, "alnum": 0.90, "serial": 0.30},
+    "go": {"mean_line": 180, "max_line": 300, "space": 0.05, "wrapped": 0.03, "number": 0.30, "encoded": 0.70, "mixed": 0.55, "alnum": 0.92, "serial": 0.20},
+    "java": {"mean_line": 200, "max_line": 400, "space": 0.05, "wrapped": 0.03, "number": 0.30, "encoded": 0.60, "mixed": 0.45, "alnum": 0.90, "serial": 0.30},
+    "css": {"mean_line": 60, "max_line": 100, "space": 0.05, "wrapped": 0.03, "number": 0.40, "encoded": 0.50, "mixed": 0.40, "alnum": 0.90, "serial": 0.40},
 }
+#: Signals in the order in which they decide, and the kind that each speaks for.
+SIGNALS = {
+    "layout: numbers": "data", "layout: encoded": "data", "layout: dense": "minified", "layout: source map": "minified", "layout: serial": "generated",
+    "marker: generated": "generated", "path: generated": "generated", "path: vendored": "vendored", "marker: vendored": "vendored", "path: minified": "minified",
+}
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -119,29 +130,39 @@ def layout(paths: list[str], texts: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")])
 
 
-def _limit(suffix: Column, at: int) -> Column:
-    return F.element_at(F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(float(v[at])))]), suffix)
+def _limit(suffix: Column, name: str) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in LIMITS.items() for x in (F.lit(k), F.lit(float(v[name])))]), suffix)
+
+
+def layout_signals() -> dict[str, Column]:
+    """Which layout statistics are beyond the limits of the language (columns ``suffix`` and those of ``STATS``)."""
+    limit = lambda name: _limit(F.col("suffix"), name)
+    used = F.col("n_lines") > 0
+    dense = (F.col("mean_line") > limit("mean_line")) & (F.col("max_line") > limit("max_line")) & (F.col("space_share") < limit("space"))
+    wrapped = (F.col("space_share") < limit("wrapped")) & (F.col("mean_line") > 60) & (F.col("alnum_share") > 0.5)
+    encoded = (F.col("encoded_share") > limit("encoded")) | ((F.col("encoded_share") > limit("mixed")) & (F.col("alnum_share") > limit("alnum")))
+    return {
+        "layout: numbers": used & (F.col("number_share") > limit("number")), "layout: encoded": used & encoded, "layout: dense": used & (dense | wrapped),
+        "layout: source map": F.col("source_map") & (F.col("space_share") < 0.10), "layout: serial": F.col("serial_share") > limit("serial"),
+    }
 
 
 def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row for every file of ``SUFFIXES``: (path, suffix, kind, and the layout statistics).
+    """A row for every file of ``SUFFIXES``: (path, suffix, kind, signals, and the layout statistics).
 
-    ``kind``: generated, minified, vendored, data, or null for hand-written files. Paths are compared as
-    they are and count once; null paths have no row. A file without chunks is judged by its path alone,
-    an empty one has statistics of 0. Nulls in other columns, and extra columns, have no effect.
+    ``kind``: generated, minified, vendored, data, or null for hand-written files; that of the first of its
+    ``signals``, of which the layout comes first. Paths are compared as they are and count once; null paths have
+    no row. A file without chunks is judged by its path alone, an empty one has statistics of 0. Nulls in other
+    columns, and extra columns, have no effect.
     """
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     paths = files.where(F.col("path").isNotNull()).select("path", suffix.alias("suffix")).where(F.col("suffix").isin(*SUFFIXES)).distinct()
     stats = with_text(chunk_parts(chunks, SUFFIXES), layout, STATS)
-    df = paths.join(stats, "path", "left")
-    s = F.col("suffix")
-    dense = (F.col("mean_line") > _limit(s, 0)) & (F.col("space_share") < _limit(s, 1))
-    kind = (
-        F.when(F.col("generated_mark") | F.col("path").rlike(GENERATED_PATH), "generated")
-        .when(F.col("path").rlike(VENDORED_PATH) | F.col("vendored_mark"), "vendored")
-        .when((F.col("number_share") > _limit(s, 2)) | (F.col("encoded_share") > _limit(s, 3)), "data")
-        .when(F.col("path").rlike(MINIFIED_PATH) | dense, "minified")
-        .when(F.col("source_map") & (F.col("space_share") < 0.10), "minified")
-        .when(F.col("serial_share") > 0.25, "generated")
-    )
-    return df.withColumn("kind", kind)
+    holds = layout_signals() | {
+        "marker: generated": F.col("generated_mark"), "path: generated": F.col("path").rlike(GENERATED_PATH), "path: vendored": F.col("path").rlike(VENDORED_PATH),
+        "marker: vendored": F.col("vendored_mark"), "path: minified": F.col("path").rlike(MINIFIED_PATH),
+    }
+    signals = F.array_compact(F.array(*[F.when(holds[name], name) for name in SIGNALS]))
+    kind_of = F.create_map(*[F.lit(x) for pair in SIGNALS.items() for x in pair])
+    df = paths.join(stats, "path", "left").withColumn("signals", signals)
+    return df.withColumn("kind", F.when(F.size("signals") > 0, F.element_at(kind_of, F.get("signals", F.lit(0)))))
