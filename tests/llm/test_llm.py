@@ -454,11 +454,21 @@ class TestSharedSpans:
         assert cover == want_cover
 
     def test_hot_fingerprints(self, spark, monkeypatch):
-        monkeypatch.setattr(shared_spans, "HOT_CONTEXTS", 1)
         texts = self.texts()
-        got, cover = self.pairs(spark, texts)
         want, want_cover = self.brute(texts)
-        assert got == want and cover == want_cover
+        for most in (1, 10):  # fingerprints with more distinct contexts are indexed by run
+            monkeypatch.setattr(shared_spans, "SHARD_CONTEXTS", most)
+            got, cover = self.pairs(spark, texts)
+            assert got == want and cover == want_cover
+
+    def test_classes_count_links(self, spark):
+        texts = self.texts()
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        pairs, _ = self.brute(texts)
+        rows = {r["doc_id"]: r for r in shared_spans.sharing_classes(*shared_spans.shared_spans(df)).collect()}
+        assert set(rows) == {i for i, t in texts.items() if t and len(t) >= 200}
+        assert {i: r["links"] for i, r in rows.items()} == {i: sum(i in p for p in pairs) for i in rows}
+        assert [rows[i]["class_id"] for i in (3, 50, 51)] == [3] * 3 and rows[3]["class_size"] == 3
 
     def test_long_texts_in_blocks(self):
         text = "".join(random.Random(2).choice("abcd ") for _ in range(20_000))

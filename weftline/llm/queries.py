@@ -131,6 +131,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing_pairs(*_spans(spark, sf_dir)[1:])
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document with its class of copies and the number of others that share a run with it."""
+    from weftline.llm.shared_spans import sharing_classes
+
+    return sharing_classes(*_spans(spark, sf_dir)[1:])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 

@@ -5,11 +5,14 @@
    so two records that share a run also share a fingerprint: nothing is lost.
 2. Fingerprints in two different texts are joined back to the text around them.
    All runs that contain a kept gram lie within its context of a fixed length.
-3. Contexts go to shards by fingerprint. A shard builds one FM-index (wavelet matrix
-   over the Burrows-Wheeler transform, rank by popcount) over its contexts and streams
-   them through it by backward search; an LCP table shortens a match that cannot be
-   extended (matching statistics). Runs of ``MIN_LEN`` characters whose suffix interval
-   holds another record are reported.
+3. Distinct contexts go to shards by fingerprint. A shard builds one FM-index (wavelet
+   matrix over the Burrows-Wheeler transform, rank by popcount) over its contexts and
+   streams them through it by backward search; an LCP table shortens a match that cannot
+   be extended (matching statistics). Runs of ``MIN_LEN`` characters whose suffix interval
+   holds another record are reported, and joined back to all records with that context.
+4. A fingerprint with more distinct contexts than a shard holds is spread over all shards:
+   its runs that stand in two records or more are indexed one by one instead of the
+   contexts around them. Equal runs are one, so no shard grows with a hot fingerprint.
 """
 
 from __future__ import annotations
@@ -20,12 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, written
 
 MIN_LEN = 200
 GRAM = 100
 SHARD_CONTEXTS = 6000
-HOT_CONTEXTS = 3000
 BLOCK_CHARS = 1 << 19
 
 _M = np.uint64(6364136223846793005)
@@ -148,7 +150,7 @@ class FMIndex:
             if step >= 2 * cap or rank.max() == n - 1:
                 break
             ranks.append(rank.astype(np.int32))
-        self.sa = sa
+        self.sa = sa.astype(np.int32)
         lcp = np.zeros(n, np.int32)
         i, j = sa[:-1].astype(np.int32), sa[1:].astype(np.int32)
         out = np.zeros(n - 1, np.int32)
@@ -161,6 +163,7 @@ class FMIndex:
             i += step
             j += step
         lcp[1:] = np.minimum(out, cap)
+        del ranks, rank, key, s, out, i, j
         self.low = [lcp.astype(np.uint8 if cap < 256 else np.int32)]  # minima over runs of 2^k
         while (w := 1 << (len(self.low) - 1)) * 2 <= n:
             last = self.low[-1]
@@ -177,7 +180,7 @@ class FMIndex:
             packed[: len(raw)] = raw
             words = packed.view(np.uint64)
             self.words.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)]).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
 
@@ -290,90 +293,94 @@ def _spread(keys: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np
 
 
 def _shard(min_len: int):
+    """Shared runs of the distinct contexts of a shard: (fp, h, first, last, cls), run starts relative to the context."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # equal contexts are indexed and streamed once; group[first[t]:first[t+1]] are the rows of context t
-        same, distinct = pd.factorize(pdf["context"])
-        texts, doc, start = distinct.tolist(), pdf["doc_id"].to_numpy(np.int64), pdf["start"].to_numpy(np.int64)
-        group = np.lexsort((doc, same))
-        rows_of = np.bincount(same, minlength=len(texts))
-        begins = np.cumsum(rows_of) - rows_of
-        low, high = doc[group[begins]], doc[group[begins + rows_of - 1]]
+        texts, doc, many = pdf["context"].tolist(), pdf["doc"].to_numpy(np.int64), pdf["many"].to_numpy(bool)
         lens = np.array([len(t) for t in texts], np.int64)
         raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols, flat = np.unique(raw, return_inverse=True)
+        flat = np.unique(raw, return_inverse=True)[1]
         width, n = int(lens.max()), len(texts)
         rows = np.full((n, width), -1, np.int32)
         rows[np.arange(width)[None, :] < lens[:, None]] = flat
-        # the indexed text: contexts, each followed by an end mark (code 0)
+        # the indexed text: contexts, each followed by an end mark (code 0), the least symbol of the index
         joined = np.zeros(int(lens.sum()) + n, np.int64)
         at = np.cumsum(lens + 1) - lens - 1
         joined[np.repeat(at, lens) + np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat + 1
-        # 0 only as end mark: also the least symbol of the index
         index = FMIndex(joined, min_len)
-        owner = np.searchsorted(at, index.sa, side="right") - 1
+        owner = (np.searchsorted(at, index.sa, side="right") - 1).astype(np.int32)
         found = []
-        for j, lo, hi, q in matching_statistics(index, np.where(rows >= 0, rows + 1, -1), min_len, (low != high)[owner]):
+        for j, lo, hi, q in matching_statistics(index, np.where(rows >= 0, rows + 1, -1), min_len, many[owner]):
             r = np.flatnonzero(q >= min_len)
             if len(r):
                 found.append((r, np.full(len(r), j), lo[r], hi[r]))
-        out = pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "start": pd.Series(dtype="int64"), "stop": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64")})
+        out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("fp", "int64"), ("h", "int64"), ("first", "int32"), ("last", "int32"), ("cls", "int64"))})
         if not found:
             return out
         row, j, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         span, which = np.unique(lo * (index.n + 1) + hi, return_inverse=True)
         slo, shi = span // (index.n + 1), span % (index.n + 1)
         size = shi - slo
-        inner = np.repeat(np.arange(len(span)), size)
-        who = owner[np.arange(len(inner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(slo, size)]
-        # from contexts to their records
-        inner, place = _spread(inner, rows_of[who], begins[who])
-        who = doc[group[place]]
+        inner, place = _spread(np.arange(len(span)), size, slo)
+        who = owner[place]
         order = np.lexsort((who, inner))
         inner, who = inner[order], who[order]
         once = np.concatenate([[True], (inner[1:] != inner[:-1]) | (who[1:] != who[:-1])])
         inner, who = inner[once], who[once]
-        docs = np.bincount(inner, minlength=len(span))
-        first = np.cumsum(docs) - docs
+        begin = np.flatnonzero(np.concatenate([[True], inner[1:] != inner[:-1]]))
+        # two records: a context that stands in several, or contexts of different ones
+        two = np.logical_or.reduceat(many[who], begin) | (np.minimum.reduceat(doc[who], begin) != np.maximum.reduceat(doc[who], begin))
+        fp, h = pdf["fp"].to_numpy(np.int64), pdf["h"].to_numpy(np.int64)
         with np.errstate(over="ignore"):
-            cls = np.add.reduceat(_mix64(who), first)
-        keep = docs[which] >= 2
+            cls = np.add.reduceat(_mix64(fp[who] ^ _mix64(h[who]).view(np.int64)), begin)
+        keep = two[which]
         row, j, cls = row[keep], j[keep], cls[which[keep]].view(np.int64)
         if not len(row):
             return out
-        # runs of neighbouring places with the same set of records become one row
+        # runs of neighbouring places with the same set of contexts become one row
         order = np.lexsort((j, row))
         row, j, cls = row[order], j[order], cls[order]
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1) | (cls[1:] != cls[:-1])])
         a = np.flatnonzero(new)
         b = np.concatenate([a[1:], [len(row)]]) - 1
-        k, place = _spread(np.arange(len(a)), rows_of[row[a]], begins[row[a]])
-        own = group[place]
-        return pd.DataFrame({"doc_id": doc[own], "start": start[own] + j[a][k], "stop": start[own] + j[b][k] + min_len, "cls": cls[a][k]})
+        return pd.DataFrame({"fp": fp[row[a]], "h": h[row[a]], "first": j[a].astype(np.int32), "last": j[b].astype(np.int32), "cls": cls[a]})
 
     return run
 
 
-_SPANS = "doc_id long, start long, stop long, cls long"
+_RUNS = "fp long, h long, first int, last int, cls long"
+
+
+def _indexed(distinct: DataFrame, by: str, min_len: int) -> DataFrame:
+    """Shared runs of distinct texts (fp, h, context, doc, many), in shards by the column ``by``."""
+    shards = max(1, -(-distinct.count() // SHARD_CONTEXTS))
+    # a fixed number of partitions: by size alone the shards, small but slow, would end up in a few tasks
+    dealt = distinct.withColumn("shard", F.pmod(F.hash(by), F.lit(shards))).repartition(shards, "shard")
+    return dealt.groupBy("shard").applyInPandas(_shard(min_len), _RUNS)
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """(fp, h, context, doc, many) of rows (fp, h, context, doc_id): ``many`` where more than one record has the text."""
+    one = rows.groupBy("fp", "h").agg(F.any_value("context").alias("context"), F.min("doc_id").alias("doc"), F.max("doc_id").alias("_last"))
+    return one.select("fp", "h", "context", "doc", (F.col("doc") != F.col("_last")).alias("many"))
 
 
-def _hot_spans(contexts: DataFrame, min_len: int) -> DataFrame:
-    """The same spans for fingerprints in very many records: runs are grouped by two hashes, without any group in one task."""
+def _runs_of(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(fp, h, doc_id, start, at): the runs of ``min_len`` characters of contexts by two hashes in one number, with their place in the context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
-            for doc, start, text in zip(pdf["doc_id"], pdf["start"], pdf["context"], strict=True):
+            for fp, doc, start, text in zip(pdf["fp"], pdf["doc_id"], pdf["start"], pdf["context"], strict=True):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 h = gram_hashes(codes, min_len)
-                h2 = gram_hashes(codes[::-1] + np.uint32(7), min_len)[::-1]
-                parts.append(pd.DataFrame({"h1": h.view(np.int64), "h2": np.ascontiguousarray(h2).view(np.int64), "doc_id": doc, "start": start + np.arange(len(h))}))
+                back = gram_hashes(codes[::-1] + np.uint32(7), min_len)[::-1]
+                key = _mix64(h.view(np.int64)) ^ back
+                parts.append(pd.DataFrame({"fp": fp, "h": key.view(np.int64), "doc_id": doc, "start": start + np.arange(len(h)), "at": np.arange(len(h), dtype=np.int32)}))
             if parts:
                 yield pd.concat(parts)
 
-    runs = contexts.where(F.length("context") >= min_len).mapInPandas(run, "h1 long, h2 long, doc_id long, start long")
-    per_doc = runs.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("_n"))
-    shared = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("_docs"), F.expr("try_sum(cast(xxhash64(doc_id) as decimal(38,0)))").alias("_set")).where("_docs > 1")
-    return runs.join(shared, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + min_len).alias("stop"), F.xxhash64("_set", "_docs").alias("cls"))
+    return contexts.where(F.length("context") >= min_len).select("fp", "doc_id", "start", "context").mapInPandas(run, "fp long, h long, doc_id long, start long, at int")
 
 
 def shared_spans(docs: DataFrame, *, min_len: int = MIN_LEN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -384,31 +391,44 @@ def shared_spans(docs: DataFrame, *, min_len: int = MIN_LEN, gram: int = GRAM) -
     texts share nothing. Characters are compared as stored; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    prints = cut_lineage(fingerprints(docs, min_len, gram))
+    prints = written(fingerprints(docs, min_len, gram))
     ids = docs.where(F.length("text") >= min_len).select("doc_id", F.xxhash64("text").alias("content"), F.length("text").alias("n"))
     reps = ids.groupBy("content", "n").agg(F.min("doc_id").alias("rep"))
-    classes = ids.join(reps, ["content", "n"]).select("doc_id", "rep").distinct()
+    classes = written(ids.join(reps, ["content", "n"]).select("doc_id", "rep").distinct())
     shared = prints.groupBy("fp").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).where("_a <> _b").select("fp")
-    at = prints.join(shared, "fp").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    at = cut_lineage(at.select("fp", "doc_id", "pos").distinct())
+    at = prints.select("fp", "doc_id", "pos").join(shared, "fp").join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    at = written(at.distinct())
     side = min_len - gram
     per_doc = at.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos")).alias("_at"))  # at most one for each place of the text
     contexts = docs.join(per_doc, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", F.explode("_at").alias("x")).select(
         F.col("x.fp").alias("fp"), "doc_id", F.greatest(F.col("x.pos") - side, F.lit(0)).cast("long").alias("start"),
         F.expr(f"substring(text, greatest(x.pos - {side}, 0) + 1, x.pos + {gram + side} - greatest(x.pos - {side}, 0))").alias("context"),
     )
-    n = at.count()
-    hot = at.groupBy("fp").count().where(F.col("count") > HOT_CONTEXTS).select("fp", F.lit(True).alias("hot"))
-    contexts = cut_lineage(contexts.join(hot, "fp", "left"))
-    shards = max(1, -(-n // SHARD_CONTEXTS))
-    cold = contexts.where("hot is null").withColumn("shard", F.pmod(F.hash("fp"), F.lit(shards)))
-    # a fixed number of partitions: by size alone the shards, small but slow, would end up in a few tasks
-    spans = cold.select("shard", "doc_id", "start", "context").repartition(shards, "shard").groupBy("shard").applyInPandas(_shard(min_len), _SPANS)
-    return cut_lineage(spans.unionByName(_hot_spans(contexts.where("hot"), min_len)).distinct()), classes
+    contexts = written(contexts.withColumn("h", F.xxhash64("context")))
+    distinct = _distinct(contexts)
+    hot = cut_lineage(distinct.groupBy("fp").count().where(F.col("count") > SHARD_CONTEXTS).select("fp"))
+    runs = _indexed(distinct.join(hot, "fp", "left_anti"), "fp", min_len)
+    place = contexts.select("fp", "h", "doc_id", "start")
+    spans = _placed(runs, place, min_len)
+    if hot.limit(1).count():
+        crowded = contexts.join(hot, "fp", "left_semi")
+        windows = written(_runs_of(crowded, min_len))
+        twice = windows.groupBy("fp", "h").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.min(F.struct("doc_id", "start", "at")).alias("_one")).where("_a <> _b")
+        sample = twice.select("fp", "h", F.col("_one.doc_id").alias("doc_id"), (F.col("_one.start") - F.col("_one.at")).alias("start"), F.col("_one.at").alias("at"), F.lit(True).alias("many"), F.col("_a").alias("doc"))
+        texts = sample.join(crowded.select("fp", "doc_id", "start", "context"), ["fp", "doc_id", "start"])
+        texts = cut_lineage(texts.select("fp", "h", F.expr(f"substring(context, at + 1, {min_len})").alias("context"), "doc", "many"))
+        spans = spans.unionByName(_placed(_indexed(texts, "h", min_len), windows.select("fp", "h", "doc_id", "start"), min_len))
+    return cut_lineage(spans.distinct()), classes
+
+
+def _placed(runs: DataFrame, place: DataFrame, min_len: int) -> DataFrame:
+    """Spans of all records from the runs of distinct texts."""
+    both = runs.join(place, ["fp", "h"])
+    return both.select("doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + min_len).alias("stop"), "cls")
 
 
 def sharing_pairs(spans: DataFrame, classes: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: all records that share a run, identical texts included."""
+    """(doc_id_a, doc_id_b), a < b: all records that share a run, identical texts included. See ``sharing_classes`` where they are too many."""
     members = spans.select("cls", "doc_id").distinct()
     links = members.alias("l").join(members.alias("r"), F.expr("l.cls = r.cls and l.doc_id < r.doc_id")).select(
         F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")
@@ -419,6 +439,26 @@ def sharing_pairs(spans: DataFrame, classes: DataFrame, min_len: int = MIN_LEN)
     return across.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
+def sharing_classes(spans: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for every record that could share a run: (doc_id, class_id, class_size, group_id, links).
+
+    Identical texts are one class, named by its least id; the classes with exactly the same shared runs are one group, named
+    likewise. ``links`` counts the other records that share a run with this one. Pairs are only formed of groups: a footer in
+    any number of records is one group of those that share nothing else, and one for each different set of further shared runs.
+    """
+    sizes = classes.groupBy("rep").agg(F.count("*").alias("class_size"))
+    runs = spans.select("doc_id", "cls").distinct().groupBy(F.col("doc_id").alias("rep")).agg(F.sort_array(F.collect_set("cls")).alias("_runs"))  # as many as the text has places
+    signed = cut_lineage(sizes.join(runs, "rep", "left"))
+    groups = signed.where("_runs IS NOT NULL").groupBy("_runs").agg(F.min("rep").alias("group_id"), F.sum("class_size").alias("_w"))
+    member = cut_lineage(groups)
+    each = member.select("group_id", "_w", F.explode("_runs").alias("cls"))
+    near = each.select("group_id", "cls").join(each.select(F.col("group_id").alias("_other"), "cls", "_w"), "cls").where("group_id <> _other").select("group_id", "_other", "_w").distinct()
+    beyond = near.groupBy("group_id").agg(F.sum("_w").alias("_beyond"))
+    total = member.join(beyond, "group_id", "left").select("_runs", "group_id", (F.col("_w") + F.coalesce("_beyond", F.lit(0))).alias("_links"))
+    per = signed.join(total, "_runs", "left").select("rep", "class_size", "group_id", (F.coalesce("_links", "class_size") - 1).alias("links"))
+    return classes.join(per, "rep").select("doc_id", F.col("rep").alias("class_id"), "class_size", F.coalesce("group_id", "rep").alias("group_id"), "links")
+
+
 def coverage(docs: DataFrame, spans: DataFrame, classes: DataFrame) -> DataFrame:
     """A row for every record: (doc_id, n_chars, n_spans, shared_chars, shared_share); null texts have 0 characters."""
     by_start = Window.partitionBy("doc_id").orderBy("start", "stop")
