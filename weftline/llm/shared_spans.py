@@ -27,7 +27,7 @@ from weftline.session import cut_lineage, written
 
 MIN_LEN = 200
 GRAM = 100
-SHARD_CONTEXTS = 6000
+SHARD_CONTEXTS = 2500
 BLOCK_CHARS = 1 << 19
 
 _M = np.uint64(6364136223846793005)
