@@ -27,11 +27,11 @@ def vectors(spark, rows):
 
 def brute(rows, k=5):
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 64 and np.isfinite(v).all() and np.any(v)}
-    out = {}
-    for i, v in good.items():
-        sims = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, w in good.items() if j != i)
-        out[i] = [j for _, j in sims[:k]]
-    return out
+    ids = np.array(sorted(good))
+    x = np.array([good[i] / np.linalg.norm(good[i]) for i in ids]).reshape(len(ids), -1)
+    sims = np.round(x @ x.T, 9)
+    np.fill_diagonal(sims, -2)
+    return {i: ids[np.argsort(-row, kind="stable")[: min(k, len(ids) - 1)]].tolist() for i, row in zip(ids.tolist(), sims, strict=True)}
 
 
 class TestSimilarVectors:
@@ -40,7 +40,7 @@ class TestSimilarVectors:
         rows = [(r["id"], r["vector"]) for r in df.collect()]
         want = brute(rows)
         got = {}
-        for r in similar_vectors.similar_vectors(df, df, tables=3, insert_probes=1, query_probes=24).collect():
+        for r in similar_vectors.similar_vectors(df, df).collect():
             got.setdefault(r["id"], {})[r["rank"]] = r["neighbor"]
         assert set(got) == set(want)
         assert sum(len(set(got[i].values()) & set(want[i])) for i in want) >= 0.9 * 5 * len(want)
@@ -93,10 +93,45 @@ class TestSimilarVectors:
         base = rng.normal(size=64)
         rows = [(f"h{i:03d}", base + 0.3 * rng.normal(size=64)) for i in range(200)]
         want, got = brute(rows), {}
-        for r in similar_vectors.similar_vectors(vectors(spark, rows), tables=3, hot_rows=40).collect():
+        for r in similar_vectors.similar_vectors(vectors(spark, rows), hot_rows=40, min_sim=-1.0, insert_probes=(3, 3, 3)).collect():
             got.setdefault(r["id"], set()).add(r["neighbor"])
         assert sum(len(got[i] & set(want[i])) for i in want) >= 0.85 * 5 * len(want)
 
+    @pytest.mark.parametrize(("bucket_rows", "fine"), [(10**9, 0), (4, 2), (1, 8)])
+    def test_recall_of_all_neighbours_with_the_second_hash(self, spark, bucket_rows, fine):
+        """Every id divisible by 20 against all rows of sf0.01, far neighbours included, with ever finer buckets."""
+        df = spark.read.parquet(f"{SF}/vectors.parquet".replace("sf0.001", "sf0.01")).select("id", "vector")
+        rows = [(r["id"], r["vector"]) for r in df.collect()]
+        want = {i: x for i, x in brute(rows).items() if int(i, 16) % 20 == 0}
+        assert similar_vectors.fine_coordinates(len(rows), 64, 1, bucket_rows) == fine
+        got: dict = {}
+        for r in similar_vectors.similar_vectors(df, df.where("conv(id, 16, 10) % 20 = 0"), bucket_rows=bucket_rows, hot_rows=10**6).collect():
+            got.setdefault(r["id"], set()).add(r["neighbor"])
+        assert sum(len(got.get(i, set()) & set(x)) for i, x in want.items()) >= 0.93 * 5 * len(want)
+
+    def test_near_copies_are_told_apart(self, spark, monkeypatch):
+        """A dense cluster in one bucket is split by the differences from its mean and still finds its nearest."""
+        rng = np.random.default_rng(8)
+        centre = rng.normal(size=64)
+        groups = [centre + 1e-3 * rng.normal(size=64) for _ in range(40)]
+        rows = [(f"g{g:02d}{i}", groups[g] + 1e-5 * rng.normal(size=64)) for g in range(40) for i in range(6)]
+        for most in (500_000, 2):  # with few keys allowed, larger buckets are left whole
+            monkeypatch.setattr(similar_vectors, "HOT_KEYS", most)
+            got: dict = {}
+            for r in similar_vectors.similar_vectors(vectors(spark, rows), min_sim=0.5, hot_rows=60).collect():
+                got.setdefault(r["id"], set()).add(r["neighbor"])
+            assert set(got) == {i for i, _ in rows} and sum(len({j for j in got[i] if j[:3] == i[:3]}) for i in got) >= 0.95 * 5 * len(rows)
+
+    def test_fast_rotation_is_a_rotation(self):
+        x = np.random.default_rng(0).normal(size=(7, 64)).astype(np.float32)
+        h = np.array([[1.0]])
+        while len(h) < 64:
+            h = np.block([[h, h], [h, -h]])
+        assert np.allclose(similar_vectors.hadamard(x), x @ h / 8, atol=1e-5)
+        for dim in (3, 17, 64, 100):
+            y = np.random.default_rng(dim).normal(size=(5, dim)).astype(np.float32)
+            assert np.allclose(np.linalg.norm(similar_vectors.rotate(y, 1, 0), axis=1), np.linalg.norm(y, axis=1), rtol=1e-4)
+
     def test_packing_is_exact_to_a_float(self):
         x = np.random.default_rng(0).normal(size=(50, 64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)

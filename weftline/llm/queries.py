@@ -22,7 +22,7 @@ def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v = table(spark, sf_dir, "vectors").select("id", "vector")
     asked = v.where("conv(id, 16, 10) % 20 = 0")
-    return similar_vectors(v, asked, tables=3, insert_probes=1, query_probes=24)
+    return similar_vectors(v, asked)
 
 
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
