@@ -283,7 +283,7 @@ def _rank_bucket(dim: int, k: int, min_sim: float | None):
                 if len(many):  # in a dense cluster only the best of a row are worth an exact cosine
                     kth = -np.partition(-s[many], more - 1, axis=1)[:, more - 1]
                     hit[many] = s[many] >= np.maximum(kth - 1e-6, min_sim - 1e-5)[:, None]
-                r, c = np.nonzero(hit)
+                r, c = np.divmod(np.flatnonzero(hit), len(base))  # of few true places this is faster than nonzero
             elif len(base) > more:
                 c = np.argpartition(-s, more - 1, axis=1)[:, :more]
                 # ties at the border: keep everything that may be among the best
