@@ -415,6 +415,15 @@ class TestPacking:
         assert len(full) <= 1.1 * sum(sizes.values()) / 2048 + 1
         assert packing.pack(df.where("false"), token_col="n").count() == 0
 
+    def test_genetics_beat_best_fit_on_a_hard_set(self, spark):
+        rng = np.random.default_rng(9)
+        sizes = rng.integers(500, 1100, 700).tolist()
+        loads: list[int] = []
+        packing.best_fit(np.argsort(-np.array(sizes), kind="stable"), np.array(sizes), np.zeros(700, np.int32), loads, 2048)
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")
+        used = {e: packing.pack(df, token_col="n", islands=2, epochs=e, offspring=o).select("container").distinct().count() for e, o in ((1, 8), (4, 150))}
+        assert used[1] <= len(loads) and used[4] <= len(loads) - 3, (len(loads), used)
+
     def test_genetics_keep_the_packing_valid(self):
         rng = np.random.default_rng(4)
         sizes = rng.integers(1, 900, 200).astype(np.int32)
@@ -443,6 +452,7 @@ class TestMixing:
         rows = {r["source"]: r for r in report.collect()}
         assert {s for s, r in rows.items() if r["falls_short"]} == {"gone"}
         for s in "abc":
+            assert abs(rows[s]["actual_share"] - rows[s]["target_tokens"] / sum(r["target_tokens"] for r in rows.values() if r["tokens_available"])) < 0.01
             assert abs(rows[s]["tokens_drawn"] - rows[s]["target_tokens"]) < 150 and rows[s]["most_copies"] <= rows[s]["max_repeats"]
         assert copies.groupBy("source").count().count() == 3 and copies.where("doc_id >= 5000").count() == 0
         assert mixing.mix_sources(docs.where("false"), targets)[1].where("falls_short").count() in (0, 4)

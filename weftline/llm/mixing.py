@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.tokens import DEFAULT_VOCABULARY, token_count
 from weftline.session import broadcast_if_small, cut_lineage
@@ -71,8 +71,9 @@ def source_targets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens_available"), F.count("*").alias("n_docs"))
     t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     joined = t.join(have, "source", "left").fillna(0, ["tokens_available", "n_docs"])
-    whole = F.sum("tokens_available").over(Window.partitionBy(F.lit(1)))  # as many rows as targets
-    return joined.withColumn("target_tokens", F.col("target_share") * whole).select(
+    whole = joined.agg(F.sum("tokens_available").alias("_whole"))
+    with_whole = joined.withColumn("_k", F.lit(1)).join(F.broadcast(whole.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row
+    return with_whole.withColumn("target_tokens", F.col("target_share") * F.col("_whole")).drop("_whole").select(
         "*",
         (F.col("tokens_available") * F.col("max_repeats") < F.col("target_tokens")).alias("falls_short"),
         F.when(F.col("tokens_available") > 0, F.least(F.col("target_tokens") / F.col("tokens_available"), F.col("max_repeats").cast("double")))
@@ -119,6 +120,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAUL
     copies = cut_lineage(drawn.select("doc_id", "source", "tokens", (F.col("whole") + F.round("prob")).cast("int").alias("copies")))
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_drawn"), F.max("copies").alias("most_copies"))
     report = plan.join(got, "source", "left").fillna(0, ["tokens_drawn", "most_copies"])
-    drawn_all = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(1)))
-    report = report.withColumn("actual_share", F.when(drawn_all > 0, F.col("tokens_drawn") / drawn_all).otherwise(0.0))
+    drawn_all = copies.agg(F.sum(F.col("tokens") * F.col("copies")).alias("_all")).withColumn("_k", F.lit(1))
+    report = report.withColumn("_k", F.lit(1)).join(F.broadcast(drawn_all), "_k").drop("_k")  # one row
+    report = report.withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens_drawn") / F.col("_all")).otherwise(0.0)).drop("_all")
     return copies.where("copies > 0"), report
