@@ -142,7 +142,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
+_P8_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT DISTINCT doc_id, hash(substr(text, i::BIGINT, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT w.* FROM w JOIN t USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL where DuckDB answers it on whole tables: for p8 brute force over all runs of 200 characters."""
     return {
         "p3_found": "SELECT DISTINCT id FROM chunks WHERE length(content) // 4 > 500",
+        "p8_found": _P8_SQL,
     }
