@@ -24,8 +24,9 @@ def language_of(path: Column) -> Column:
 
 def code_tokens(text: Column) -> Column:
     """Words of code: split at lower-upper borders and at everything but ASCII letters and digits, lower case, two characters or more."""
-    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "[^a-zA-Z0-9]", " ")
-    return F.filter(F.split(F.lower(spaced), " +"), lambda x: F.length(x) > 1)
+    # a run of lower-case letters goes on with a digit, but not with a capital
+    runs = F.regexp_extract_all(text, F.lit("(?=[A-Za-z0-9])[A-Z0-9]*+(?:[a-z]++[0-9][A-Z0-9]*+)*+[a-z]*+"), F.lit(0))
+    return F.transform(F.filter(runs, lambda x: F.length(x) > 1), F.lower)
 
 
 def word_tokens(text: Column) -> Column:
@@ -49,11 +50,6 @@ def token_estimate(text: Column) -> Column:
     return F.expr("0") + F.coalesce(F.floor(F.length(text) / 4), F.lit(0)).cast("int")
 
 
-def newlines(text: Column) -> Column:
-    """Number of line feeds."""
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def human_size(n: Column) -> Column:
     """Size with unit by whole division by 1024."""
     kb, mb = F.floor(n / 1024), F.floor(n / (1024 * 1024))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +31,24 @@ def file_lines(chunks: DataFrame) -> DataFrame:
     return each.groupBy("file_path", (F.col("start_line") + F.col("_i")).alias("line")).agg(F.max("content").alias("content"))
 
 
+def file_texts(chunks: DataFrame) -> DataFrame:
+    """(file_path, text): the whole texts of the files that the chunks (file_path, start_line, content) cover. One file is one row, as is its text."""
+    parts = chunks.where("file_path IS NOT NULL AND content IS NOT NULL AND start_line >= 0").groupBy("file_path").agg(F.collect_set(F.struct("start_line", "content")).alias("parts"))
+
+    @F.pandas_udf("string")
+    def join(files: pd.Series) -> pd.Series:
+        out = []
+        for parts in files:
+            lines: dict[int, str] = {}
+            for p in parts:
+                for i, line in enumerate(p["content"].split("\n"), p["start_line"]):
+                    lines[i] = max(line, lines.get(i, line))
+            out.append("\n".join(lines.get(i, "") for i in range(max(lines) + 1)))
+        return pd.Series(out)
+
+    return parts.select("file_path", join("parts").alias("text"))
+
+
 def gaps(lines_df: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, file_path, start_line, end_line, content): maximal runs of lines that no symbol covers; blank runs are dropped."""
     covered = symbols.select("file_path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
@@ -80,9 +100,77 @@ def python_symbols(texts: DataFrame) -> DataFrame:
         except (SyntaxError, ValueError, RecursionError):
             return
 
+    return texts.where("text IS NOT NULL").select("file_path", "text").mapInPandas(_symbol_rows(symbols_of), SYMBOL_SCHEMA)
+
+
+_BLANKED = re.compile(
+    r"//[^\n]*|/\*.*?\*/|`(?:[^`\\]|\\.)*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<=[=(,:\[!&|?{};\s])/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/(?=[\s.,;)\]gimsuy])", re.S
+)
+_TOP = re.compile(r"^[ \t]*((?:export[ \t]+)?(?:default[ \t]+)?(?:(?:abstract|async|declare)[ \t]+)*(class|function)\b[ \t]*\*?[ \t]*([A-Za-z_$][\w$]*))", re.M)
+_METHOD = re.compile(r"^[ \t]*((?:(?:static|async|get|set|public|private|protected|override|abstract|readonly)[ \t]+)*\*?[ \t]*(#?[A-Za-z_$][\w$]*))[ \t]*(?:<[^>\n]*>)?[ \t]*\(", re.M)
+_NO_METHOD = frozenset("if for while switch catch return function new typeof await super".split())
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+
+
+def bracket_symbols(texts: DataFrame) -> DataFrame:
+    """Classes, functions and methods of JavaScript and TypeScript texts (file_path, text), by their first lines and matching brackets.
+
+    Comments, strings and regular expressions are blanked first. A text whose brackets do not match has the symbols that close.
+    """
+
+    def symbols_of(path: str, text: str) -> Iterator[tuple]:
+        bare = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+        ends, stack = {}, []
+        for m in re.finditer(r"[()\[\]{}]", bare):
+            c = m.group()
+            if c in "([{":
+                stack.append((c, m.start()))
+            elif stack and stack[-1][0] == _PAIRS[c]:
+                ends[stack.pop()[1]] = m.start()
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        rows = text.split("\n")
+        line = lambda at: bisect_right(starts, at) - 1
+
+        def body(at: int) -> int | None:
+            """Where the block ends that a declaration opens, whose name ends at ``at``."""
+            while True:
+                m = re.compile(r"[({;]").search(bare, at)
+                if not m or m.group() == ";":
+                    return None
+                if m.group() == "{":
+                    return ends.get(m.start())
+                at = ends.get(m.start(), len(bare))
+
+        def row(m: re.Match, kind: str, name: str, end: int, parent: str | None) -> tuple:
+            a, b = line(m.start(1)), line(end)
+            return path, name, kind, a, b, parent, "\n".join(rows[a : b + 1])
+
+        for m in _TOP.finditer(bare):
+            end = body(m.end())
+            if end is None:
+                continue
+            yield row(m, m.group(2), m.group(3), end, None)
+            if m.group(2) != "class":
+                continue
+            at = bare.index("{", m.end()) + 1
+            while at < end:  # members stand directly in the class
+                k = _METHOD.match(bare, at) if at == 0 or bare[at - 1] in "\n{};" else None
+                if k and k.group(2) not in _NO_METHOD and (stop := body(k.end() - 1)) is not None and stop < end:
+                    yield row(k, "method", k.group(2), stop, m.group(3))
+                    at = stop + 1
+                    continue
+                nxt = re.compile(r"[({\[\n;]").search(bare, at)
+                if not nxt:
+                    break
+                at = ends.get(nxt.start(), nxt.start()) + 1
+
+    return texts.where("text IS NOT NULL").select("file_path", "text").mapInPandas(_symbol_rows(symbols_of), SYMBOL_SCHEMA)
+
+
+def _symbol_rows(symbols_of):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [s for p, t in zip(pdf["file_path"], pdf["text"], strict=True) for s in symbols_of(p, t)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOL_SCHEMA.split(", ")])
 
-    return texts.where("text IS NOT NULL").select("file_path", "text").mapInPandas(run, SYMBOL_SCHEMA)
+    return run

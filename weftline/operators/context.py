@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.functions.text import word_set
+from weftline.functions.text import compress_code, word_set
 from weftline.session import cut_lineage
 
 
@@ -62,6 +60,18 @@ def assemble(blocks: DataFrame, max_chars: int, order: list[str]) -> DataFrame:
     return group.select("qid", fold.alias("_f")).select("qid", F.array_join("_f.out", "\n\n").alias("context"), F.size("_f.out").alias("n_blocks"))
 
 
+def assembled(blocks: DataFrame, max_chars: int) -> DataFrame:
+    """(qid, context, n_blocks) of hits (qid, rank, id, file_path, symbol, symbol_type, content): of equal contents the best ranked,
+    docstrings and long import lists cut, in order of type and rank, until the budget is used."""
+    same = Window.partitionBy("qid", F.xxhash64(F.coalesce("content", F.lit("")))).orderBy("rank", "id")
+    once = blocks.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    titled = once.select(
+        "qid", F.concat_ws(" ", F.lit("##"), "file_path", "symbol").alias("title"), compress_code(F.coalesce("content", F.lit("")), F.col("symbol_type")).alias("content"),
+        type_rank(F.col("symbol_type")).alias("_t"), "rank", "id",
+    )
+    return assemble(titled, max_chars, ["_t", "rank", "id"])
+
+
 def similar_texts(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id_a, id_b, similarity): pairs of different word sets with a Jaccard similarity of at least ``threshold``.
 
@@ -100,8 +110,3 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     ends = pairs.select(F.col("id_a").alias("class_id")).unionByName(pairs.select(F.col("id_b").alias("class_id")))
     links = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     return member.join(classes, ["_h", "_n"]).join(links, "class_id", "left").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """Rarest words of a set of ``n`` that a similar set must share one of."""
-    return n - math.ceil(n * threshold - 1e-9) + 1

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import batched, chain
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.operators.blocks import in_blocks
 from weftline.operators.lexical import top_k
-from weftline.session import cut_lineage
 
-BLOCK_QUERIES = 20_000
+BLOCK_QUERIES, BLOCK_VECTORS = 20_000, 50_000
 #: Scores that a task holds at once.
 BLOCK_SCORES = 1 << 22
 
@@ -22,44 +18,33 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "l2
     """(qid, id, score, rank): the ``k`` nearest of each query (qid, vector) among vectors (id, vector).
 
     ``l2``: squared distance d, score 1/(1+d); ``cosine``: the cosine. Scores are rounded to six places,
-    ties go by id. Each task keeps the best of each of its blocks, so a query sends few rows.
-    Queries are taken in blocks of ``BLOCK_QUERIES``; where there is more than one, the result of each is written.
+    ties go by id. Blocks of queries meet blocks of vectors; each cell keeps the best of each query, so few rows are sent on.
     """
-    vectors = vectors.select("id", "vector")
-    blocks = batched(queries.select("qid", "vector").toLocalIterator(), BLOCK_QUERIES)
-    first, second = next(blocks, ()), next(blocks, None)
-    if second is None:
-        return _nearest_of(first, vectors, k, metric)
-    return reduce(DataFrame.unionByName, [cut_lineage(_nearest_of(rows, vectors, k, metric)) for rows in chain((first, second), blocks)])
-
-
-def _nearest_of(rows: tuple, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    qids = np.array([r["qid"] for r in rows], dtype=object)
-    q = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["vector"]) if rows else 0)
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(q):
-                continue
-            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            ids = pdf["id"].to_numpy()
-            m, step = min(k, len(ids)), max(1, BLOCK_SCORES // len(ids))
-            xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
-            for i in range(0, len(q), step):
-                dot = q[i : i + step] @ x.T
-                if metric == "l2":
-                    near = 1.0 / (1.0 + np.maximum(qq[i : i + step, None] + xx - 2 * dot, 0))
-                    slack = 1e-6 + 1e-12 * (qq[i : i + step] + xx.max())
-                else:
-                    near = dot / np.sqrt(qq)[i : i + step, None] / np.sqrt(xx)
-                    slack = np.full(len(dot), 1e-6)
-                edge = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
-                r, c = np.nonzero(near >= (edge - slack)[:, None])
-                for j in range(0, len(r), 1 << 16):
-                    a, b = r[j : j + (1 << 16)], c[j : j + (1 << 16)]
-                    # the product above loses digits of small distances
-                    score = 1.0 / (1.0 + ((q[i + a] - x[b]) ** 2).sum(axis=1)) if metric == "l2" else near[a, b]
-                    yield pd.DataFrame({"qid": qids[i + a], "id": ids[b], "score": score})
 
-    hits = vectors.mapInPandas(block, "qid string, id string, score double")
+    def meet(q_rows: pd.DataFrame, x_rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": str, "id": str, "score": float})
+        if not len(q_rows) or not len(x_rows):
+            return empty
+        q, x = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (q_rows, x_rows))
+        qids, ids, out = q_rows["qid"].to_numpy(), x_rows["id"].to_numpy(), [empty]
+        m, step = min(k, len(ids)), max(1, BLOCK_SCORES // len(ids))
+        xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        for i in range(0, len(q), step):
+            dot = q[i : i + step] @ x.T
+            if metric == "l2":
+                near = 1.0 / (1.0 + np.maximum(qq[i : i + step, None] + xx - 2 * dot, 0))
+                slack = 1e-6 + 1e-12 * (qq[i : i + step] + xx.max())
+            else:
+                near = dot / np.sqrt(qq)[i : i + step, None] / np.sqrt(xx)
+                slack = np.full(len(dot), 1e-6)
+            edge = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
+            r, c = np.divmod(np.flatnonzero(near >= (edge - slack)[:, None]), len(ids))
+            for j in range(0, len(r), 1 << 16):
+                a, b = r[j : j + (1 << 16)], c[j : j + (1 << 16)]
+                # the product above loses digits of small distances
+                score = 1.0 / (1.0 + ((q[i + a] - x[b]) ** 2).sum(axis=1)) if metric == "l2" else near[a, b]
+                out.append(pd.DataFrame({"qid": qids[i + a], "id": ids[b], "score": score}))
+        return pd.concat(out)
+
+    hits = in_blocks(queries.select("qid", "vector"), vectors.select("id", "vector"), meet, "qid string, id string, score double", query_rows=BLOCK_QUERIES, rows_a_block=BLOCK_VECTORS)
     return top_k(hits.withColumn("score", F.round("score", 6)), k)

@@ -42,6 +42,33 @@ def strategy_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("strategy").agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 4).alias(c) for c in names])
 
 
+def dataset(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, query, files, docs, symbols, category) of queries (qid, text): the chunks of the symbol that each asks for are its ground truth, the kind of symbol its category."""
+    j = queries.join(chunks.select("id", "file_path", "symbol_type", F.col("symbol").alias("text")), "text")
+    return j.groupBy("qid", F.col("text").alias("query")).agg(
+        F.collect_set("file_path").alias("files"), F.collect_set("id").alias("docs"), F.array(F.first("text")).alias("symbols"), F.coalesce(F.min("symbol_type"), F.lit("none")).alias("category")
+    )
+
+
+def dataset_categories(data: DataFrame) -> DataFrame:
+    """(category, n_queries, files, ids) of a dataset."""
+    return data.groupBy("category").agg(F.count("*").alias("n_queries"), F.sum(F.size("files")).alias("files"), F.sum(F.size("docs")).alias("ids"))
+
+
+def judged_any(hits: DataFrame, data: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits (qid, id) with rel: 1 if the id, file, or symbol of the chunk is in the ground truth of the query (see ``dataset``), without case."""
+    truth = data.select("qid", F.explode(F.concat("files", "docs", "symbols")).alias("_t")).select("qid", F.lower("_t").alias("_t")).distinct()
+    tokens = hits.join(chunks.select("id", "file_path", "symbol"), "id", "left").select("qid", "id", F.explode(F.array("id", "file_path", "symbol")).alias("_t"))
+    found = tokens.select("qid", "id", F.lower("_t").alias("_t")).join(truth, ["qid", "_t"], "left_semi").select("qid", "id").distinct().withColumn("rel", F.lit(1))
+    return hits.join(found, ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+
+
+def context_sizes(hits: DataFrame) -> DataFrame:
+    """(strategy, n_queries, mean_chars, total_chars): characters of the contents (chars) of the hits (strategy, qid) of each strategy."""
+    per = hits.groupBy("strategy", "qid").agg(F.sum("chars").alias("chars"))
+    return per.groupBy("strategy").agg(F.count("*").alias("n_queries"), F.round(F.avg("chars"), 4).alias("mean_chars"), F.sum("chars").alias("total_chars"))
+
+
 def best_strategy(metrics: DataFrame) -> DataFrame:
     """(metric, strategy, value): the best strategy by each metric; the first by name wins ties."""
     names = [c for c in metrics.columns if c not in ("strategy", "n_queries")]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+HOT_CALLERS = 20_000
+
 
 def symbol_nodes(chunks: DataFrame) -> DataFrame:
     """(node, name, symbol_type, file_path, start_line, end_line, parent): one node per file and name, the last in the file wins."""
@@ -20,12 +22,20 @@ def contains_edges(chunks: DataFrame) -> DataFrame:
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
-    """(src, dst, relation): functions and methods whose text calls a name that is a symbol of their repository (column ``repo``)."""
+    """(src, dst, relation): functions and methods whose text calls a name that is a symbol of their repository (column ``repo``).
+
+    Callers and definitions are distinct before they meet. The callers of a name in more than ``HOT_CALLERS`` places are dealt to
+    parts, each of which meets the definitions on its own.
+    """
     callers = chunks.where("symbol_type IN ('function', 'method') AND symbol <> '' AND file_path IS NOT NULL")
     names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
-    called = callers.select("repo", F.concat_ws("::", "file_path", "symbol").alias("src"), "symbol", F.explode(names).alias("name"))
+    called = callers.select("repo", F.concat_ws("::", "file_path", "symbol").alias("src"), "symbol", F.explode(names).alias("name")).where("symbol <> name").select("repo", "name", "src").distinct()
     defined = chunks.where("symbol <> '' AND file_path IS NOT NULL").select("repo", F.col("symbol").alias("name"), F.concat_ws("::", "file_path", "symbol").alias("dst")).distinct()
-    return called.join(defined, ["repo", "name"]).where("symbol <> name").select("src", "dst", F.lit("calls").alias("relation")).distinct()
+    called = called.join(defined.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
+    crowd = called.groupBy("repo", "name").agg(F.ceil(F.count("*") / HOT_CALLERS).cast("int").alias("_parts"))
+    parted = defined.join(crowd, ["repo", "name"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = called.join(crowd.where("_parts > 1"), ["repo", "name"], "left").withColumn("_part", F.pmod(F.xxhash64("src"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return dealt.join(parted, ["repo", "name", "_part"]).select("src", "dst", F.lit("calls").alias("relation")).distinct()
 
 
 def all_edges(chunks: DataFrame) -> DataFrame:

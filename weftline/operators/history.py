@@ -67,3 +67,10 @@ def running_usage(messages: DataFrame, max_calls: int, max_tokens: int) -> DataF
     rows = messages.select("conv_id", "turn", F.sum(F.coalesce(F.size("tool_calls"), F.lit(0))).over(by).alias("calls"), F.floor(F.sum(content_chars() + args_chars()).over(by) / 4).alias("tokens"))
     over = F.concat_ws(",", F.when(F.col("calls") >= max_calls, "max_tool_calls"), F.when(F.col("tokens") >= max_tokens, "max_context_tokens"))
     return rows.withColumn("over", over)
+
+
+def export(messages: DataFrame) -> DataFrame:
+    """(conv_id, n, text): each conversation as text, a line "turn type: content" a message, in order; one conversation is one row."""
+    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "type", F.lit(": "), F.coalesce("content", F.lit("")))
+    rows = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("_l"))
+    return rows.select("conv_id", "n", F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("text"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def manifest_diff(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(path, status): new, modified, deleted or skipped. Null hashes differ from any; null paths are left out."""
+    """(path, status): new, modified, deleted or skipped. A hash that is null on one side only differs; null paths are left out."""
     now = files.where("path IS NOT NULL").select("path", F.col("sha256").alias("_now"), F.lit(True).alias("_a"))
     old = manifest.where("path IS NOT NULL").groupBy("path").agg(F.max("sha256").alias("_old")).withColumn("_b", F.lit(True))
-    status = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "deleted").when(F.col("_now") == F.col("_old"), "skipped").otherwise("modified")
+    status = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "deleted").when(F.col("_now").eqNullSafe(F.col("_old")), "skipped").otherwise("modified")
     return now.join(old, "path", "full_outer").select("path", status.alias("status"))
 
 

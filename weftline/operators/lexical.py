@@ -24,23 +24,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(code_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
+def counted_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, dl), (term, id, tf, dl)) of docs (id, text)."""
+    words = docs.select("id", F.coalesce(code_tokens(F.col("text")), F.array().cast("array<string>")).alias("_w"))
+    # the length comes before the explode, so that neither text nor array is carried along with each word
+    each = words.select("id", F.size("_w").alias("dl"), "_w").select("id", "dl", F.explode("_w").alias("term"))
+    return words.select("id", F.size("_w").alias("dl")), each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+
+def score_postings(terms: DataFrame, tf: DataFrame, n: int, avgdl: float | None) -> DataFrame:
+    """(qid, id, score) of query terms (qid, term, n) over postings (term, id, tf, dl) of ``n`` documents; scores are rounded to six places."""
+    avgdl = max(avgdl or 0.0, 1.0)
+    df = tf.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = terms.join(df, "term").withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("n"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return tf.join(weighted.select("qid", "term", "idf"), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, id, score) of all documents with a term of the query; scores are rounded to six places.
 
-    Only the terms of the queries are exploded and shuffled, not the whole index. An empty corpus,
-    or queries without terms, give no rows.
+    For texts that no index holds: only the terms of the queries are exploded and shuffled. An empty corpus,
+    or queries without terms, give no rows. See ``sources.index`` for texts that are searched more than once.
     """
     terms = query_terms(queries)
     stats = doc_stats(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], max(stats["avgdl"] or 0.0, 1.0)
-    # the length comes before the explode, so that neither text nor array is carried along with each word
     counted = docs.select("id", code_tokens(F.col("text")).alias("_w")).select("id", F.size("_w").alias("dl"), "_w")
     hits = counted.select("id", "dl", F.explode("_w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("n"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return tf.join(weighted.select("qid", "term", "idf"), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return score_postings(terms, tf, stats["n"], stats["avgdl"])
 
 
 def top_k(hits: DataFrame, k: int, score: str = "score") -> DataFrame:

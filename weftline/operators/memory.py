@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.functions.text import word_tokens
 from weftline.operators.context import within_budget
@@ -44,6 +44,24 @@ def prune(entries: DataFrame, most: int, keep: int) -> DataFrame:
     return worth.orderBy(F.desc("worth"), "id").limit(keep)
 
 
+def latest(entries: DataFrame, k: int) -> DataFrame:
+    """Entries (category, created_at, id) with their place in their category, the ``k`` latest of each; without a time they come last."""
+    by = Window.partitionBy("category").orderBy(F.desc_nulls_last("created_at"), F.col("id").cast("long").desc())
+    return entries.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
+def add(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, action, match_id, importance) of each entry of ``new`` (id, content, category, importance) added after ``entries`` in order of its id.
+
+    ``merged``: an earlier entry of the category has nearly the same words and takes the higher importance; else ``added``.
+    """
+    placed = lambda df, late: df.withColumn("place", F.struct(F.lit(late).alias("late"), F.col("id").cast("long").alias("n")))
+    near = duplicates(placed(entries, 0).unionByName(placed(new, 1))).withColumnRenamed("importance", "_raised")
+    return new.select("id", "importance").join(near, "id", "left").select(
+        "id", F.when(F.col("match_id").isNull(), "added").otherwise("merged").alias("action"), "match_id", F.coalesce("_raised", "importance").alias("importance")
+    )
+
+
 def duplicates(entries: DataFrame) -> DataFrame:
     """(id, match_id, importance): entries whose words are nearly those of an earlier one, the first such, and the higher importance of the two.
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from functools import reduce
-from itertools import batched, chain, islice
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.operators.blocks import in_blocks
 from weftline.operators.lexical import top_k
-from weftline.session import cut_lineage
 
-BLOCK_QUERIES = 20_000
+BLOCK_QUERIES, BLOCK_TEXTS = 20_000, 20_000
 #: Instructions aimed at an assistant: (kind, pattern), matched without case (fixed values).
 INJECTION_PATTERNS = (
     ("instruction override", r"ignore (all |any |the )?(previous|above|prior|earlier) (instructions|prompts|messages|context|directions)"),
@@ -69,39 +68,29 @@ def has_all_tokens(text: Column, query: Column) -> Column:
 def all_tokens_hits(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): for each query (qid, text) the first ``k`` ids of docs (id, content) that hold all its words; the score is 1.
 
-    Every query is tested against all docs. Queries are taken in blocks of ``BLOCK_QUERIES``; where there is more
-    than one, the result of each is written. A task keeps the first ``k`` of each of its batches. Queries without words find nothing.
+    Every query is tested against all docs, block by block; a cell keeps the first ``k`` of each query. Queries without words find nothing.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != ""))
     asked = queries.select("qid", words.alias("words")).where(F.size("words") > 0)
     lower = docs.where("content IS NOT NULL").select("id", F.lower("content").alias("content"))
-    blocks = batched(asked.toLocalIterator(), BLOCK_QUERIES)
-    first, second = next(blocks, ()), next(blocks, None)
-    if second is None:
-        return _all_tokens_of(first, lower, k)
-    return reduce(DataFrame.unionByName, [cut_lineage(_all_tokens_of(rows, lower, k)) for rows in chain((first, second), blocks)])
-
-
-def _all_tokens_of(rows: tuple, lower: DataFrame, k: int) -> DataFrame:
-    asked = [(r["qid"], sorted(r["words"], key=len, reverse=True)) for r in rows]
-    rarest = defaultdict(list)  # queries by their longest word, which is looked for once
-    for qid, words in asked:
-        rarest[words[0]].append((qid, words[1:]))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.sort_values("id")
-            texts = list(zip(pdf["id"], pdf["content"], strict=True))
-            qids, ids = [], []
-            for word, those in rarest.items():
-                held = [(i, t) for i, t in texts if word in t]
-                for qid, others in those if held else ():
-                    got = list(islice((i for i, t in held if all(w in t for w in others)), k))
-                    qids += [qid] * len(got)
-                    ids += got
-            yield pd.DataFrame({"qid": qids, "id": ids, "score": 1.0}).astype({"qid": str, "id": str, "score": float})
-
-    return top_k(lower.mapInPandas(block, "qid string, id string, score double"), k)
+
+    def meet(q_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rarest = defaultdict(list)  # queries by their longest word, which is looked for once
+        for qid, found in zip(q_rows["qid"], q_rows["words"], strict=True):
+            first, *others = sorted(found, key=len, reverse=True)
+            rarest[first].append((qid, others))
+        rows = rows.sort_values("id")
+        texts = list(zip(rows["id"], rows["content"], strict=True))
+        qids, ids = [], []
+        for word, those in rarest.items():
+            held = [(i, t) for i, t in texts if word in t]
+            for qid, others in those if held else ():
+                got = list(islice((i for i, t in held if all(w in t for w in others)), k))
+                qids += [qid] * len(got)
+                ids += got
+        return pd.DataFrame({"qid": qids, "id": ids, "score": 1.0}).astype({"qid": str, "id": str, "score": float})
+
+    return top_k(in_blocks(asked, lower, meet, "qid string, id string, score double", query_rows=BLOCK_QUERIES, rows_a_block=BLOCK_TEXTS), k)
 
 
 def pattern_counts(texts: DataFrame, patterns: tuple[tuple[str, str], ...], *, ignore_case: bool) -> DataFrame:
@@ -112,6 +101,20 @@ def pattern_counts(texts: DataFrame, patterns: tuple[tuple[str, str], ...], *, i
     return each.groupBy("id", "_x.kind").agg(F.sum("_x.n").alias("n"))
 
 
+def matches(texts: DataFrame, patterns: tuple[tuple[str, str], ...], *, ignore_case: bool) -> DataFrame:
+    """(id, kind, found, n): what matched in texts (id, content), and how often."""
+    flag = "(?i)" if ignore_case else ""
+    as_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found"))
+    found = F.concat(*[F.transform(F.regexp_extract_all("content", F.lit(flag + p), F.lit(0)), as_kind(kind)) for kind, p in patterns])
+    each = texts.where("content IS NOT NULL").select("id", F.explode(found).alias("_x"))
+    return each.groupBy("id", "_x.kind", "_x.found").agg(F.count("*").alias("n"))
+
+
+def checked_output(text: Column) -> Column:
+    """Output of a foreign tool: secrets redacted, then instructions to assistants cut out."""
+    return sanitize(redact(text), F.lit("mcp"))
+
+
 def sanitize(text: Column, source: Column) -> Column:
     """Text with instructions to assistants cut out (``STRIP_SOURCES``) or marked; overlapping matches become one."""
     compiled = [(kind, re.compile(p, re.I)) for kind, p in INJECTION_PATTERNS]
@@ -189,6 +192,23 @@ def failures(logs: DataFrame) -> DataFrame:
     )
 
 
+def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(run_id, passed_before, passed_after, regressions, new_failures, mended, success) of test logs (run_id, raw) before and after a change.
+
+    ``regressions`` counts the tests that pass no more by the summaries; ``new_failures`` and ``mended`` name tests by their failure blocks.
+    """
+    a, b = (parse_test_logs(x).select("run_id", F.col("passed").alias(f"passed_{w}"), (F.col("failed") + F.col("error")).alias(f"_bad_{w}")) for x, w in ((before, "before"), (after, "after")))
+    named = lambda x, w: failures(x).groupBy("run_id").agg(F.collect_set("test").alias(f"_f_{w}"))  # noqa: E731  # one log's tests
+    both = a.join(b, "run_id").join(named(before, "before"), "run_id", "left").join(named(after, "after"), "run_id", "left")
+    none = F.array().cast("array<string>")
+    old, new = F.coalesce("_f_before", none), F.coalesce("_f_after", none)
+    gone = F.greatest(F.col("passed_before") - F.col("passed_after"), F.lit(0))
+    return both.select(
+        "run_id", "passed_before", "passed_after", gone.alias("regressions"), F.sort_array(F.array_except(new, old)).alias("new_failures"), F.sort_array(F.array_except(old, new)).alias("mended"),
+        ((gone == 0) & (F.col("_bad_after") == 0)).alias("success"),
+    )
+
+
 def test_frameworks(files: DataFrame) -> DataFrame:
     """(repo, framework): by marker files: pytest, npm, cargo or unknown."""
     base = F.element_at(F.split("path", "/"), -1)
@@ -197,13 +217,6 @@ def test_frameworks(files: DataFrame) -> DataFrame:
     return per.select("repo", F.when(F.col("_py"), "pytest").when(F.col("_npm"), "npm").when(F.col("_cargo"), "cargo").otherwise("unknown").alias("framework"))
 
 
-def change_marks(diff_lines: DataFrame) -> DataFrame:
-    """(id, added, removed): lines of unified diffs (id, text) by their mark."""
-    each = diff_lines.select("id", F.explode(F.split("text", "\n")).alias("l"))
-    plus, minus = F.col("l").rlike(r"^\+(?!\+\+)"), F.col("l").rlike("^-(?!--)")
-    return each.groupBy("id").agg(F.sum(F.when(plus, 1).otherwise(0)).alias("added"), F.sum(F.when(minus, 1).otherwise(0)).alias("removed"))
-
-
 def language_histogram(files: DataFrame, k: int = 10) -> DataFrame:
     """(language, n): the ``k`` most frequent languages by suffix."""
     from weftline.functions.text import language_of

@@ -1,15 +1,3 @@
 """Schemas that several stages share."""
 
-from pyspark.sql import types as T
-
-#: A ranked hit of any search stage; stages leave the scores that they do not set null.
-HIT_SCHEMA = T.StructType(
-    [
-        T.StructField("qid", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rank", T.IntegerType()),
-    ]
-)
 SYMBOL_SCHEMA = "file_path string, name string, type string, start_line int, end_line int, parent string, content string"
-EDGE_SCHEMA = "src string, dst string, relation string"
