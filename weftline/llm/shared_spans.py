@@ -27,7 +27,9 @@ from weftline.session import cut_lineage, written
 
 MIN_LEN = 200
 GRAM = 100
-SHARD_CONTEXTS = 2500
+SHARD_CONTEXTS = 1000
+#: Distinct contexts of one fingerprint from which on its runs are indexed one by one, in shards.
+CROWDED = 4
 BLOCK_CHARS = 1 << 19
 
 _M = np.uint64(6364136223846793005)
@@ -406,7 +408,7 @@ def shared_spans(docs: DataFrame, *, min_len: int = MIN_LEN, gram: int = GRAM) -
     )
     contexts = written(contexts.withColumn("h", F.xxhash64("context")))
     distinct = _distinct(contexts)
-    hot = cut_lineage(distinct.groupBy("fp").count().where(F.col("count") > SHARD_CONTEXTS).select("fp"))
+    hot = cut_lineage(distinct.groupBy("fp").count().where(F.col("count") > CROWDED * SHARD_CONTEXTS).select("fp"))
     runs = _indexed(distinct.join(hot, "fp", "left_anti"), "fp", min_len)
     place = contexts.select("fp", "h", "doc_id", "start")
     spans = _placed(runs, place, min_len)
