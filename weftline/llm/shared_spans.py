@@ -27,9 +27,9 @@ from weftline.session import cut_lineage, written
 
 MIN_LEN = 200
 GRAM = 100
-SHARD_CONTEXTS = 1000
+SHARD_CONTEXTS = 3000
 #: Distinct contexts of one fingerprint from which on its runs are indexed one by one, in shards.
-CROWDED = 4
+CROWDED = 2
 BLOCK_CHARS = 1 << 19
 
 _M = np.uint64(6364136223846793005)
