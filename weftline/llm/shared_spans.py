@@ -137,35 +137,48 @@ class FMIndex:
 
     def __init__(self, codes: np.ndarray, cap: int):
         n = self.n = len(codes)
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-        self.sigma, ranks, step = int(rank.max()) + 1, [rank.astype(np.int32)], 1
-        base = rank
-        while True:  # prefix doubling
-            second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:] + 1
-            key = rank * (n + 1) + second
+        base = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+        self.sigma = int(base.max()) + 1
+        # prefix doubling begins with as many symbols as fit one number
+        bits, m = self.sigma.bit_length(), 1
+        while 2 * m * bits <= 62 and m < 8:
+            m *= 2
+        padded, key = np.concatenate([base + 1, np.zeros(m, np.int64)]), np.zeros(n, np.int64)
+        for i in range(m):
+            key = (key << bits) | padded[i : i + n]
+        ranks, step = [], m
+        while True:
             sa = np.argsort(key)
             s = key[sa]
             rank = np.zeros(n, np.int64)
             rank[sa] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
-            step *= 2
             if step >= 2 * cap or rank.max() == n - 1:
                 break
-            ranks.append(rank.astype(np.int32))
+            ranks.append(rank.astype(np.int32))  # equal where ``step`` symbols are
+            second = np.zeros(n, np.int64)
+            second[: n - step] = rank[step:] + 1
+            key = rank * (n + 1) + second
+            step *= 2
         self.sa = sa.astype(np.int32)
         lcp = np.zeros(n, np.int32)
-        i, j = sa[:-1].astype(np.int32), sa[1:].astype(np.int32)
+        i, j = self.sa[:-1].copy(), self.sa[1:].copy()
         out = np.zeros(n - 1, np.int32)
         for k in range(len(ranks) - 1, -1, -1):  # ranks past the end differ from all
             r = np.concatenate([ranks[k], [-1]])
-            same = r[np.minimum(i, n)] == r[np.minimum(j, n)]
-            same &= (i < n) & (j < n)
-            step = same.astype(np.int32) << k
+            same = (r[np.minimum(i, n)] == r[np.minimum(j, n)]) & (i < n) & (j < n)
+            step = same.astype(np.int32) * (m << k)
             out += step
             i += step
             j += step
+        same = np.ones(n - 1, bool)
+        for _ in range(m - 1):  # what is left is shorter than the first symbols taken together
+            same &= (i < n) & (j < n)
+            same &= base[np.minimum(i, n - 1)] == base[np.minimum(j, n - 1)]
+            out += same
+            i += same
+            j += same
         lcp[1:] = np.minimum(out, cap)
-        del ranks, rank, key, s, out, i, j
+        del ranks, rank, key, s, out, i, j, padded
         self.low = [lcp.astype(np.uint8 if cap < 256 else np.int32)]  # minima over runs of 2^k
         while (w := 1 << (len(self.low) - 1)) * 2 <= n:
             last = self.low[-1]
@@ -204,26 +217,25 @@ class FMIndex:
 
     def widen(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of all suffixes that agree with those in [lo, hi) on ``depth`` characters."""
-        lo, hi = lo.copy(), hi.copy()
-        for up in (True, False):
-            at, todo, k = (lo if up else hi), np.arange(len(lo)), 0
-            tops = np.zeros(len(lo), np.int64)
-            while len(todo) and k < len(self.low):  # gallop while the minima allow, then halve
-                todo = todo[self._moves(at, depth, todo, k, up)]
-                at[todo] += -(1 << k) if up else 1 << k
-                tops[todo] = k + 1
-                k += 1
-            for k in range(int(tops.max(initial=0)) - 1, -1, -1):
-                rest = np.flatnonzero(tops > k)
-                rest = rest[self._moves(at, depth, rest, k, up)]
-                at[rest] += -(1 << k) if up else 1 << k
-        return lo, hi
-
-    def _moves(self, at: np.ndarray, depth: np.ndarray, lanes: np.ndarray, k: int, up: bool) -> np.ndarray:
-        """Which lanes can move their border by 2^k places: the LCP values passed are at least ``depth``."""
-        w, low = 1 << k, self.low[k]
-        first = at[lanes] - w + 1 if up else at[lanes]
-        ok = first >= 1 if up else first + w <= self.n
+        at, way = np.concatenate([lo, hi]), np.repeat(np.array([-1, 1]), len(lo))
+        depth, todo, k = np.concatenate([depth, depth]), np.arange(len(at)), 0
+        tops = np.zeros(len(at), np.int64)
+        while len(todo) and k < len(self.low):  # gallop while the minima allow, then halve
+            todo = todo[self._moves(at, depth, way, todo, k)]
+            at[todo] += way[todo] << k
+            tops[todo] = k + 1
+            k += 1
+        for k in range(int(tops.max(initial=0)) - 1, -1, -1):
+            rest = np.flatnonzero(tops > k)
+            rest = rest[self._moves(at, depth, way, rest, k)]
+            at[rest] += way[rest] << k
+        return at[: len(lo)], at[len(lo) :]
+
+    def _moves(self, at: np.ndarray, depth: np.ndarray, way: np.ndarray, lanes: np.ndarray, k: int) -> np.ndarray:
+        """Which lanes can move their border by 2^k places up (-1) or down: the LCP values passed are at least ``depth``."""
+        w, low, a, up = 1 << k, self.low[k], at[lanes], way[lanes] < 0
+        first = np.where(up, a - w + 1, a)
+        ok = np.where(up, first >= 1, first + w <= self.n)
         ok[ok] = low[first[ok]] >= depth[lanes[ok]]
         return ok
 
@@ -356,8 +368,8 @@ _RUNS = "fp long, h long, first int, last int, cls long"
 def _indexed(distinct: DataFrame, by: str, min_len: int) -> DataFrame:
     """Shared runs of distinct texts (fp, h, context, doc, many), in shards by the column ``by``."""
     shards = max(1, -(-distinct.count() // SHARD_CONTEXTS))
-    # a fixed number of partitions: by size alone the shards, small but slow, would end up in a few tasks
-    dealt = distinct.withColumn("shard", F.pmod(F.hash(by), F.lit(shards))).repartition(shards, "shard")
+    # several partitions a shard: by size alone the shards, small but slow, would end up in a few tasks
+    dealt = distinct.withColumn("shard", F.pmod(F.hash(by), F.lit(shards))).repartition(4 * shards, "shard")
     return dealt.groupBy("shard").applyInPandas(_shard(min_len), _RUNS)
 
 
