@@ -27,7 +27,7 @@ from weftline.session import cut_lineage, written
 
 MIN_LEN = 200
 GRAM = 100
-SHARD_CONTEXTS = 3000
+SHARD_CONTEXTS = 5000
 #: Distinct contexts of one fingerprint from which on its runs are indexed one by one, in shards.
 CROWDED = 2
 BLOCK_CHARS = 1 << 19
