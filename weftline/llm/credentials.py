@@ -96,7 +96,7 @@ def _last_words(key: str) -> list[str]:
 def secret_name(key: str) -> bool:
     """Whether the last words of a key name a secret: ``db_pass`` and ``apiKey`` do, ``compass``, ``token_count`` and ``max_token`` do not."""
     low = _last_words(key)
-    if not low or len(low) > 1 and low[-2] in _NO_SECRET:
+    if not low or len(low) > 1 and low[-1] in ("token", "tokens", "key", "keys") and low[-2] in _NO_SECRET:
         return False
     ends = ["".join(low[-n:]) for n in (1, 2, 3) if len(low) >= n]
     return any(e in _NAMES or e.endswith("s") and e[:-1] in _NAMES for e in ends)
