@@ -254,7 +254,7 @@ class TestCredentials:
             ("a.yaml",'db: {user: bob, password: "s3cr3tPazz9"}',[1]),("a.yaml",'env:\n  - name: DB_PASSWORD\n    value: s3cr3tPazz9\n  - name: HOST\n    value: abc12345x\n',[3]),("a.json",'{"env":[{"name":"DB_PASSWORD","value":"s3cr3tPazz9"},\n{"name":"HOST","value":"h0st12345"}]}',[1]),
             ("a.toml",'db = { user = "x", password = "s3cr3tPazz9" }',[1]),("a.toml",'[a]\nkey = """\nabc\n"""\ntoken = """\ns3cr3tPazz9abc"""',[5]),("a.xml",'<c>\n<password>s3cr3tPazz9</password>\n<x password="s3cr3tPazz9"/>\n<add key="ApiKey" value="s3cr3tPazz9"/></c>',[2,3,4]),("Dockerfile",'FROM x\nENV DB_PASSWORD=s3cr3tPazz9 A=1\nENV API_KEY s3cr3tPazz9\nARG TOKEN="s3cr3tPazz9"',[2,3,4]),
             (".netrc",'machine h login bob password s3cr3tPazz9',[1]),("a.sh",'curl -u bob:s3cr3tPazz9 https://h/x\nmysql --password=s3cr3tPazz9',[1,2]),("a.py",'password = "correcthorsebattery"',[1]),("a.py",'passphrase = "correct horse battery staple"',[1]),
-            ("a.json",'{"passwords": ["s3cr3tPazz9",\n "s3cr3tPazz8"]}',[1,2]),("a.yaml",'passwords:\n  - s3cr3tPazz9\n  - s3cr3tPazz8\n',[2,3]),("a.py",'max_token = "abc12345x"',[]),("a.py",'password = "Please enter your password here"\npassword_hint = "correcthorsebattery"\npassword = "required"\naccess_keyLabel = "Enter your access_key"',[]),
+            ("a.json",'{"passwords": ["s3cr3tPazz9",\n "s3cr3tPazz8"]}',[1,2]),("a.yaml",'passwords:\n  - s3cr3tPazz9\n  - s3cr3tPazz8\n',[2,3]),("a.py",'max_token = "abc12345x"',[]),("a.py",'cursor_kennwort = "s3cr3tPazz9"\npage_key = "abc12345x"',[1]),("a.py",'password = "Please enter your password here"\npassword_hint = "correcthorsebattery"\npassword = "required"\naccess_keyLabel = "Enter your access_key"',[]),
             ("a.properties",'db.password=s3cr\\\n  3tPazz9\nx=1',[1]),(".pgpass","h:5432:db:bob:s3cr3tPazz9",[1]),("k.plist","<dict><key>ApiKey</key>\n<string>s3cr3tPazz9</string></dict>",[2]),
             ("a.yaml",'a:\n  valueFrom:\n    secretKeyRef:\n      name: db-secret\n      key: password\n',[]),("a.yaml","x: [1, 2]\npassword: !vault |\n  abc123def\n",[3]),("docker-compose.yml","environment:\n  - DB_PASSWORD=s3cr3tPazz9\n",[2]),("a.json",'{"a": {"token": "s3cr3tPazz9", "b": 1}, "c": true}',[1])
         ],
