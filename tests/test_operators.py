@@ -188,6 +188,33 @@ def test_memory_duplicates_against_brute_force(spark):
     assert want and {tuple(r) for r in memory.duplicates(df).collect()} == want
 
 
+def _shuffled(spark, job) -> int:
+    """Bytes that the stages of ``job`` wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spent = lambda: sum(x.shuffleWriteBytes() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = spent()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spent() - before
+
+
+def test_memory_duplicates_compare_few_words(spark):
+    """Texts of one small vocabulary share rare words without being near: their words are not sent from pair to pair."""
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(120)]
+    texts = [" ".join(rng.sample(vocabulary, 60)) for _ in range(300)]
+    texts.append(texts[7] + " more")
+    df = spark.createDataFrame([(str(i), t, "c", 0.5, i) for i, t in enumerate(texts)], "id string, content string, category string, importance double, place long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        assert _shuffled(spark, lambda: found.extend(tuple(r) for r in memory.duplicates(df).collect())) < 2_000_000
+        assert found == [("300", "7", 0.5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_repository_scan(spark, tmp_path):
     for name, data in {"main.py": b"x = 1\n", "data.bin2": b"hello\0world", "skip.pyc": b"x", "empty.py": b"", "nested/utils.py": "y = 'é'\n".encode(), "node_modules/a.js": b"1"}.items():
         p = tmp_path / name

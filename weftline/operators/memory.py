@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.functions.text import word_tokens
 from weftline.operators.context import within_budget
-from weftline.session import cut_lineage
+from weftline.session import broadcast_if_small, cut_lineage, written
+
+#: Counters of words, by which the rare ones are told from the common ones; words that share a counter pass for more common than they are.
+BUCKETS = 1 << 16
+#: Of the rarest words, how many two sets must share to be compared; prefixes are longer by that.
+SHARED = 3
 
 
 def tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -66,24 +76,94 @@ def duplicates(entries: DataFrame) -> DataFrame:
     """(id, match_id, importance): entries whose words are nearly those of an earlier one, the first such, and the higher importance of the two.
 
     entries: (id, content, category, importance, place). The category is the same and the Jaccard similarity over 0.85; earlier
-    goes by place. Equal word sets of a category are one class, and classes are joined on their rarest words only.
+    goes by place. Equal word sets of a category are one class. Classes meet on their rarest words, as hashes with the parity of each
+    set's bits; only pairs that can be near by their bits have their words compared, so that the words of the others are never shuffled.
     """
-    words = F.sort_array(F.array_distinct(word_tokens(F.col("content"))))
-    e = entries.select("id", "importance", F.struct("place", "id", "importance").alias("at"), F.coalesce("category", F.lit("")).alias("cat"), words.alias("words")).where(F.size("words") > 0)
-    keyed = cut_lineage(e.withColumn("class", F.sha2(F.concat_ws(" ", "cat", "words"), 256)))
-    sets = keyed.groupBy("class", "cat", "words").agg(F.min("at").alias("at"))
-    each = sets.select("class", "cat", F.explode("words").alias("w"))
-    freq = each.groupBy("cat", "w").agg(F.count("*").alias("f"))
-    ranked = each.join(freq, ["cat", "w"]).groupBy("class", "cat").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("_s"))
-    n = F.size("_s")
-    prefix = ranked.select("class", "cat", n.alias("n"), F.explode(F.slice("_s", 1, (n - F.ceil(n * 0.85 - 1e-9) + 1).cast("int"))).alias("_w")).select("class", "cat", "n", F.col("_w.w").alias("w"))
+    words, cat = F.sort_array(F.array_distinct(word_tokens(F.col("content")))), F.coalesce("category", F.lit("")).alias("cat")
+    e = entries.select("id", "importance", F.struct("place", "id", "importance").alias("at"), cat, words.alias("words")).where(F.size("words") > 0)
+    hashes = F.transform("words", lambda w: F.hash("cat", w)).alias("h")
+    keyed = written(e.select("id", "importance", "at", F.unhex(F.md5(F.concat_ws(" ", "cat", "words"))).alias("class"), hashes))
+    sets = keyed.groupBy("class").agg(F.min("at").alias("at"))
+    freq = np.zeros(BUCKETS, np.int64)
+    for b, f in keyed.select("h").mapInArrow(_frequencies, "b int, f long").groupBy("b").agg(F.sum("f")).collect():  # no more rows than buckets
+        freq[b] = f
+    prefix = keyed.select("class", "h").mapInArrow(_prefixes(freq), "class binary, n int, pos int, b0 long, b1 long, key int").repartition("key").distinct()
     a, b = prefix.alias("a"), prefix.alias("b")
-    same = (F.col("a.cat") == F.col("b.cat")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.class") != F.col("b.class"))
     reachable = (F.col("a.n") * 100 >= F.col("b.n") * 85) & (F.col("b.n") * 100 >= F.col("a.n") * 85)
-    pairs = a.join(b, same & reachable).select(F.col("a.class").alias("class"), F.col("b.class").alias("other")).distinct()
-    both = pairs.join(sets.select("class", F.col("words").alias("_x")), "class").join(sets.select(F.col("class").alias("other"), F.col("words").alias("_y"), "at"), "other")
-    inter = F.size(F.array_intersect("_x", "_y"))
-    near = both.where(inter * 100 > (F.size("_x") + F.size("_y") - inter) * 85).select("class", "at").unionByName(sets.select("class", "at"))
+    # sets of x and y words with i in common differ in x + y - 2i, and every odd bit stands for one of these at least
+    may = lambda differ, x, y: differ * 185 < (x + y) * 15
+    differ = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & reachable & may(differ, F.col("a.n"), F.col("b.n")))
+    pairs = cut_lineage(met.select(F.col("a.class").alias("class"), F.col("b.class").alias("other")).groupBy("class", "other").agg(F.count("*").alias("_n")).where(F.col("_n") >= SHARED).select("class", "other"))
+    finer = _both(pairs, cut_lineage(_of(pairs, sets, keyed.select("id", "h")).select("class", "h").mapInArrow(_sketches, "class binary, n int, bits array<long>")))
+    differ = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    left = cut_lineage(finer.where(may(differ, F.col("a.n"), F.col("b.n"))).select("class", "other"))
+    both = _both(left, cut_lineage(_of(left, sets, entries.select("id", cat, "content")).select("class", "at", "cat", words.alias("words"))))
+    inter = F.size(F.array_intersect("a.words", "b.words"))
+    close = both.where((F.col("a.cat") == F.col("b.cat")) & (inter * 100 > (F.size("a.words") + F.size("b.words") - inter) * 85))
+    near = close.select("class", F.col("b.at").alias("at")).unionByName(close.select(F.col("other").alias("class"), F.col("a.at").alias("at"))).unionByName(sets.select("class", "at"))
     first = near.groupBy("class").agg(F.min("at").alias("first"))
-    got = keyed.join(first, "class").where(F.col("first") < F.col("at"))
+    got = keyed.select("id", "importance", "at", "class").join(first, "class").where(F.col("first") < F.col("at"))
     return got.select("id", F.col("first.id").alias("match_id"), F.greatest("importance", "first.importance").alias("importance"))
+
+
+def _of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, ...) of the first entry of each class in ``pairs``, with class and at."""
+    wanted = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct().join(sets, "class").select("class", "at", F.col("at.id").alias("id"))
+    return rows.join(broadcast_if_small(cut_lineage(wanted), 100_000), "id")
+
+
+def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (class, other) with a struct of the row of either class, a and b."""
+    whole = F.struct(*[c for c in rows.columns if c != "class"])
+    return pairs.join(rows.select("class", whole.alias("a")), "class").join(rows.select(F.col("class").alias("other"), whole.alias("b")), "other")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets h of a batch, their hashes one after the other, and the row of each."""
+    n = pc.list_value_length(batch.column("h")).to_numpy(zero_copy_only=False).astype(np.int64)
+    return n, batch.column("h").flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def _parity(h: np.ndarray, row: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """A row of 64-bit words for each set: bit by bit, whether an odd number of its hashes falls there."""
+    odd = np.bincount(row * bits + ((h >> 16) & (bits - 1)), minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += np.bincount(_flat(batch)[1] & (BUCKETS - 1), minlength=BUCKETS)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["b", "f"])
+
+
+def _prefixes(freq: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row (class, n, pos, b0, b1, key) for each of the rarest hashes of a set (class, h); near sets have ``SHARED`` or more of these in common.
+
+    The order of the hashes is the same for all sets: by how often their bucket occurs, then by value. b0 and b1 are the parity of the set in 128 bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, h, row = _flat(batch)
+            parity, order = _parity(h, row, len(n), 128), np.lexsort((h, freq[h & (BUCKETS - 1)], row))
+            place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+            # sets of up to five words have no near one but equals, which are of their class
+            kept = (place < (n - np.ceil(n * 0.85 - 1e-9).astype(np.int64) + SHARED)[row]) & (n > 5)[row]
+            at, key = row[kept], h[order][kept]
+            columns = [n[at].astype(np.int32), place[kept].astype(np.int32), parity[at, 0], parity[at, 1], key.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(at)), *map(pa.array, columns)], names=["class", "n", "pos", "b0", "b1", "key"])
+
+    return run
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (class, n, bits) of each set (class, h): its parity in 2,048 bits."""
+    for batch in batches:
+        if len(batch):
+            n, h, row = _flat(batch)
+            words = _parity(h, row, len(n), 2048)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 32), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(n.astype(np.int32)), bits], names=["class", "n", "bits"])
