@@ -215,6 +215,22 @@ def test_memory_duplicates_compare_few_words(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_memory_add_compares_few_words(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(120)]
+    texts = [" ".join(rng.sample(vocabulary, 60)) for _ in range(300)]
+    rows = [(str(i), t, "c", 0.5) for i, t in enumerate([*texts, texts[7] + " more", "quite new"])]
+    df = spark.createDataFrame(rows, "id string, content string, category string, importance double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        assert _shuffled(spark, lambda: found.extend(tuple(r) for r in memory.add(df.where("id < 300"), df.where("id >= 300")).collect())) < 2_000_000
+        assert sorted(found) == [("300", "merged", "7", 0.5), ("301", "added", None, 0.5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_repository_scan(spark, tmp_path):
     for name, data in {"main.py": b"x = 1\n", "data.bin2": b"hello\0world", "skip.pyc": b"x", "empty.py": b"", "nested/utils.py": "y = 'é'\n".encode(), "node_modules/a.js": b"1"}.items():
         p = tmp_path / name
