@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import diff, text as T
 from weftline.operators import chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.plans.queries import QUERIES
 from weftline.sources import files, index, reports
 from weftline.streaming import streams
 from tests.conftest import SF
@@ -38,6 +39,30 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert dense.nearest(v.withColumnRenamed("id", "qid").where("false"), v, 2).count() == 0
 
 
+def test_many_searches_at_once(spark, monkeypatch):
+    """Block by block the rows are those of a join of all postings: ties, repeats, words in all docs or none, empty texts."""
+    rng = random.Random(3)
+    some = ["load", "user", "cache", "name", "token", *[f"rare{i}" for i in range(30)]]
+    docs = [(f"d{i:03d}", " ".join(rng.choices(some, weights=[40, 30, 20, 10, 5, *[1] * 30], k=rng.randint(0, 9)))) for i in range(300)] + [("e", ""), ("n", None)]
+    asked = [(f"q{i:02d}", " ".join(rng.choices(some, k=rng.randint(1, 5)))) for i in range(60)] + [("x", "load load"), ("y", "absent"), ("z", None), ("w", ""), ("v", "load load")]
+    d, q = spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(asked, "qid string, text string")
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(lexical, "BLOCK_TEXTS", 70)
+    for k in (1, 4, 50, 1000):
+        want = {(r["qid"], r["id"], r["rank"], r["score"]) for r in lexical.top_k(lexical.bm25_scores(q, d), k).collect()}
+        got = [(r["qid"], r["id"], r["rank"], r["score"]) for r in lexical.bm25_top(q, d, k).collect()]
+        assert want and len(got) == len(want) and set(got) == want
+    assert lexical.bm25_top(q, d.where("false"), 5).count() == 0 and lexical.bm25_top(q.where("false"), d, 5).count() == 0
+
+
+def test_wide_search_sends_few_rows(spark, tmp_path):
+    rows = [(f"{i * 20:016x}", "r/a.py", f"load user name v{i % 7}", 1, 2, "load user name", "function", None, "r") for i in range(400)]
+    spark.createDataFrame(rows, "id string, file_path string, content string, start_line int, end_line int, symbol string, symbol_type string, parent string, repo string").write.parquet(f"{tmp_path}/chunks.parquet")
+    found = []
+    assert _shuffled(spark, lambda: found.extend(QUERIES["bm25_search_wide"](spark, str(tmp_path)).collect())) < 500_000
+    assert len(found) == 4000
+
+
 def test_fusion_of_one_sided_hits(spark):
     one = spark.createDataFrame([("q", "b1", 2.0, 1)], "qid string, id string, score double, rank int")
     two = spark.createDataFrame([("q", "v1", 0.9, 1)], "qid string, id string, score double, rank int")
