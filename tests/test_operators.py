@@ -156,6 +156,12 @@ def test_grep_in_all_repositories(spark, monkeypatch):
     assert scan.all_tokens_hits(q.where("false"), c, 2).count() == 0
 
 
+def test_words_are_found_in_runs_and_across_them(spark):
+    texts = ["def load_user(x)", "self.user_id = 1", "preload_users", "", "é naïve user-id", "a.b.c", "x" * 300 + "user"]
+    words = {"user", "load_user", "user_id", "user-id", "self.user", ".", "naïve", "b.c", "(x)", "absent", "x" * 40, "é", "s"}
+    assert scan._word_places(words, texts) == {w: [i for i, t in enumerate(texts) if w in t] for w in words}
+
+
 def test_logs(spark):
     raw = "____________________ x\nFAILED tests/t.py::test_a - boom\nAssertionError: no\nFile \"t.py\", line 12\n1 failed, 2 passed in 1.23s"
     df = spark.createDataFrame([("r", raw), ("e", "")], "run_id string, raw string")
