@@ -424,6 +424,14 @@ class TestPacking:
         used = {e: packing.pack(df, token_col="n", islands=2, epochs=e, offspring=o).select("container").distinct().count() for e, o in ((1, 8), (4, 150))}
         assert used[1] <= len(loads) and used[4] <= len(loads) - 3, (len(loads), used)
 
+    def test_genetics_do_their_work_by_default(self, spark):
+        """Without parameters a hard set takes fewer containers than by best fit."""
+        sizes = np.random.default_rng(9).integers(500, 1100, 700).tolist()
+        loads: list[int] = []
+        packing.best_fit(np.argsort(-np.array(sizes), kind="stable"), np.array(sizes), np.zeros(700, np.int32), loads, 2048)
+        rows = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int"), token_col="n").collect()
+        assert sum(r["tokens"] for r in rows) == sum(sizes) and len({r["container"] for r in rows}) <= len(loads) - 3
+
     def test_genetics_keep_the_packing_valid(self):
         rng = np.random.default_rng(4)
         sizes = rng.integers(1, 900, 200).astype(np.int32)

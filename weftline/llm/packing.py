@@ -23,9 +23,9 @@ from weftline.session import cut_lineage
 CAPACITY = 2048
 CELL_ITEMS = 1000
 ISLANDS = 2
-EPOCHS = 2
+EPOCHS = 4
 POPULATION = 4
-OFFSPRING = 8
+OFFSPRING = 150
 
 _STATE = "cell long, island int, ids array<long>, piece array<int>, sizes array<int>, pop array<array<int>>, fit array<double>"
 
@@ -115,7 +115,10 @@ def _evolve(capacity: int, seed: int, epoch: int, population: int, offspring: in
                 pop += [np.asarray(x, np.int32) for x in elites]
         scored = sorted(((fitness(x, sizes, capacity), k) for k, x in enumerate(pop)), reverse=True)
         fits, pop = [s for s, _ in scored][:population], [pop[k] for _, k in scored][:population]
+        fewest = max(1, -(-int(sizes.sum()) // capacity))
         for _ in range(offspring):
+            if len(np.unique(pop[0])) <= fewest:
+                break  # no packing has fewer containers
             i, j = rng.integers(0, len(pop), 2)
             child = mutate(pop[i], sizes, capacity, rng) if i == j else crossover(pop[i], pop[j], sizes, capacity, rng)
             f = fitness(child, sizes, capacity)
@@ -156,7 +159,8 @@ def pack(
     ``token_col`` the sizes are taken from that column.
 
     A cell evolves ``epochs`` times ``offspring`` children on each of ``islands`` populations of ``population``
-    packings. Where best fit leaves room (sizes of a third to a half of the capacity) more epochs fill it.
+    packings, and stops before that only with as few containers as its tokens can fill at all. Where best fit leaves room
+    (sizes of a third to a half of the capacity) the children fill it.
     """
     size = F.col(token_col) if token_col else token_count(F.col("text"), vocabulary)
     n_docs = docs.count()
