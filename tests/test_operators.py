@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import diff, text as T
 from weftline.operators import chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.plans import queries
 from weftline.plans.queries import QUERIES
 from weftline.sources import files, index, reports
 from weftline.streaming import streams
@@ -63,6 +64,15 @@ def test_wide_search_sends_few_rows(spark, tmp_path):
     assert len(found) == 4000
 
 
+@pytest.mark.parametrize("name", ["best_per_symbol_wide", "hybrid_rrf_wide", "symbol_boost_wide", "best_strategy_all", "strategy_benchmark_all", "rerank_overlap_whole"])
+def test_wide_queries_do_not_join_postings(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("every posting of every query is joined")
+
+    monkeypatch.setattr(queries, "search_index", refuse)
+    assert QUERIES[name](spark, SF).columns
+
+
 def test_fusion_of_one_sided_hits(spark):
     one = spark.createDataFrame([("q", "b1", 2.0, 1)], "qid string, id string, score double, rank int")
     two = spark.createDataFrame([("q", "v1", 0.9, 1)], "qid string, id string, score double, rank int")
