@@ -5,13 +5,15 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 import random
 import re
 from pyspark.sql import functions as F
 
 from weftline.functions import diff, text as T
-from weftline.operators import chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
+from weftline.operators import blocks, chunking, context, dense, evaluation, expansion, fusion, graph, history, incremental, lexical, memory, scan
 from weftline.plans import queries
 from weftline.plans.queries import QUERIES
 from weftline.sources import files, index, reports
@@ -56,6 +58,37 @@ def test_many_searches_at_once(spark, monkeypatch):
     assert lexical.bm25_top(q, d.where("false"), 5).count() == 0 and lexical.bm25_top(q.where("false"), d, 5).count() == 0
 
 
+def test_each_cell_is_a_partition_of_its_own(spark):
+    """Two cells in one partition make its task the longest; the blocks of rows fill the cores evenly."""
+    rows = spark.range(9000).select(F.col("id").cast("string").alias("id"))
+    asked = spark.range(60).select(F.col("id").cast("string").alias("qid"))
+    meet = lambda q, r: pd.DataFrame({"nq": [len(q)], "nr": [len(r)]})
+    got = blocks.in_blocks(asked, rows, meet, "nq long, nr long", query_rows=20, rows_a_block=1500).withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == 24 and len({r["p"] for r in got}) == 24 and sum(r["nq"] * r["nr"] for r in got) == 60 * 9000
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_sends_no_more_than_the_best_of_a_cell(spark, monkeypatch, metric):
+    """Equal vectors, near ties, tiny and huge lengths: the rows are those of a plain computation, and a cell returns k a query."""
+    rng, sent = np.random.default_rng(5), []
+    x = rng.normal(size=(300, 64)) * np.repeat([1.0, 1e-4, 30.0], 100)[:, None]
+    x[40:80], x[80:90] = x[7], x[7] * 1.000001
+    x = x.astype(np.float32)
+    ids = [f"{i:03d}" for i in rng.permutation(300)]
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, x, strict=True)], "id string, vector array<float>")
+    q = v.where("id < '060'").withColumnRenamed("id", "qid")
+    plain = dense.in_blocks
+    monkeypatch.setattr(dense, "in_blocks", lambda *a, **kw: sent.append(plain(*a, **kw)) or sent[-1])
+    got = {(r["qid"], r["id"]): (r["rank"], r["score"]) for r in dense.nearest(q, v, 5, metric=metric).collect()}
+    d = x.astype(np.float64)
+    unit = d / np.linalg.norm(d, axis=1)[:, None]
+    for at in [i for i in range(300) if ids[i] < "060"]:
+        score = 1 / (1 + ((d - d[at]) ** 2).sum(axis=1)) if metric == "l2" else unit @ unit[at]
+        want = sorted((-s, i) for s, i in zip(np.round(score, 6), ids, strict=True))[:5]
+        assert [got[ids[at], i] for _, i in want] == [(n + 1, pytest.approx(-s, abs=1e-9)) for n, (s, _) in enumerate(want)]
+    assert len(got) == 300 and sent[0].count() == 300
+
+
 def test_wide_search_sends_few_rows(spark, tmp_path):
     rows = [(f"{i * 20:016x}", "r/a.py", f"load user name v{i % 7}", 1, 2, "load user name", "function", None, "r") for i in range(400)]
     spark.createDataFrame(rows, "id string, file_path string, content string, start_line int, end_line int, symbol string, symbol_type string, parent string, repo string").write.parquet(f"{tmp_path}/chunks.parquet")
