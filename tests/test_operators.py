@@ -58,6 +58,17 @@ def test_many_searches_at_once(spark, monkeypatch):
     assert lexical.bm25_top(q, d.where("false"), 5).count() == 0 and lexical.bm25_top(q.where("false"), d, 5).count() == 0
 
 
+def test_long_texts_that_share_words_are_no_candidates(spark, monkeypatch):
+    """128 bits tell nothing of sets of 400 words; near ones on either side of 512 words are still found."""
+    rng, pairs = random.Random(8), []
+    texts = [[f"w{i}" for i in rng.sample(range(1200), 400)] for _ in range(40)] + [[f"v{i}" for i in range(500)], [f"v{i}" for i in range(530)]]
+    rows = [(str(i), " ".join(words), "a", 0.1, i) for i, words in enumerate(texts)]
+    plain = memory.cut_lineage
+    monkeypatch.setattr(memory, "cut_lineage", lambda df: pairs.append(plain(df)) or pairs[-1])
+    got = memory.duplicates(spark.createDataFrame(rows, "id string, content string, category string, importance double, place long")).collect()
+    assert [(r["id"], r["match_id"]) for r in got] == [("41", "40")] and pairs[0].count() == 1
+
+
 def test_each_cell_is_a_partition_of_its_own(spark):
     """Two cells in one partition make its task the longest; the blocks of rows fill the cores evenly."""
     rows = spark.range(9000).select(F.col("id").cast("string").alias("id"))

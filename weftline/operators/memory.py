@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions.text import word_tokens
 from weftline.operators.context import within_budget
@@ -87,13 +87,13 @@ def duplicates(entries: DataFrame) -> DataFrame:
     freq = np.zeros(BUCKETS, np.int64)
     for b, f in keyed.select("h").mapInArrow(_frequencies, "b int, f long").groupBy("b").agg(F.sum("f")).collect():  # no more rows than buckets
         freq[b] = f
-    prefix = keyed.select("class", "h").mapInArrow(_prefixes(freq), "class binary, n int, pos int, b0 long, b1 long, key int").repartition("key").distinct()
+    prefix = keyed.select("class", "h").mapInArrow(_prefixes(freq), "class binary, n int, again int, b0 long, b1 long, more array<long>, key int").repartition("key").distinct()
     a, b = prefix.alias("a"), prefix.alias("b")
     reachable = (F.col("a.n") * 100 >= F.col("b.n") * 85) & (F.col("b.n") * 100 >= F.col("a.n") * 85)
     # sets of x and y words with i in common differ in x + y - 2i, and every odd bit stands for one of these at least
     may = lambda differ, x, y: differ * 185 < (x + y) * 15
     differ = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & reachable & may(differ, F.col("a.n"), F.col("b.n")))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & reachable & may(differ, F.col("a.n"), F.col("b.n")) & (F.coalesce(may(_apart("a.more", "b.more"), F.col("a.n"), F.col("b.n")), F.lit(True))))
     pairs = cut_lineage(met.select(F.col("a.class").alias("class"), F.col("b.class").alias("other")).groupBy("class", "other").agg(F.count("*").alias("_n")).where(F.col("_n") >= SHARED).select("class", "other"))
     finer = _both(pairs, cut_lineage(_of(pairs, sets, keyed.select("id", "h")).select("class", "h").mapInArrow(_sketches, "class binary, n int, bits array<long>")))
     differ = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -107,6 +107,14 @@ def duplicates(entries: DataFrame) -> DataFrame:
     return got.select("id", F.col("first.id").alias("match_id"), F.greatest("importance", "first.importance").alias("importance"))
 
 
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two parities differ; the longer one, of twice as many bits, is folded onto the other. Null where one is null."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    m = F.least(F.size(a), F.size(b))
+    x, y = (F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), xor)).otherwise(F.col(c)) for c in (a, b))
+    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda s, z: s + F.bit_count(z)))
+
+
 def _of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (id, ...) of the first entry of each class in ``pairs``, with class and at."""
     wanted = pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct().join(sets, "class").select("class", "at", F.col("at.id").alias("id"))
@@ -140,21 +148,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(freq: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row (class, n, pos, b0, b1, key) for each of the rarest hashes of a set (class, h); near sets have ``SHARED`` or more of these in common.
+    """A row (class, n, again, b0, b1, more, key) for each of the rarest hashes of a set (class, h); near sets have ``SHARED`` or more of these in common.
 
     The order of the hashes is the same for all sets: by how often their bucket occurs, then by value. b0 and b1 are the parity of the set in 128 bits.
+    These tell nothing of sets of many words, which have ``more``: bits for half of their words or a quarter. ``again`` numbers equal hashes of a set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, h, row = _flat(batch)
             parity, order = _parity(h, row, len(n), 128), np.lexsort((h, freq[h & (BUCKETS - 1)], row))
-            place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+            starts = np.cumsum(n) - n
+            place, h = np.arange(len(h)) - starts[row], h[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+            again = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            more = [_parity(h[s : s + m], np.zeros(m, np.int64), 1, min(2048, 1 << (int(m - 1).bit_length() - 1)))[0] if m > 256 else None for s, m in zip(starts, n, strict=True)]
             # sets of up to five words have no near one but equals, which are of their class
             kept = (place < (n - np.ceil(n * 0.85 - 1e-9).astype(np.int64) + SHARED)[row]) & (n > 5)[row]
-            at, key = row[kept], h[order][kept]
-            columns = [n[at].astype(np.int32), place[kept].astype(np.int32), parity[at, 0], parity[at, 1], key.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(at)), *map(pa.array, columns)], names=["class", "n", "pos", "b0", "b1", "key"])
+            at, key = row[kept], h[kept]
+            columns = [n[at].astype(np.int32), again[kept].astype(np.int32), parity[at, 0], parity[at, 1], pa.array(more, pa.list_(pa.int64())).take(pa.array(at)), key.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(at)), *map(pa.array, columns)], names=["class", "n", "again", "b0", "b1", "more", "key"])
 
     return run
 
