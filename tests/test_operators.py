@@ -69,6 +69,13 @@ def test_long_texts_that_share_words_are_no_candidates(spark, monkeypatch):
     assert [(r["id"], r["match_id"]) for r in got] == [("41", "40")] and pairs[0].count() == 1
 
 
+def test_benchmark_reads_contents_once(spark, monkeypatch):
+    asked, plain = [], queries._chunks
+    monkeypatch.setattr(queries, "_chunks", lambda *a: asked.append(a) or plain(*a))
+    queries._strategies(spark, SF, queries._wide_queries, queries._wide_vectors)
+    assert len(asked) == 1
+
+
 def test_each_cell_is_a_partition_of_its_own(spark):
     """Two cells in one partition make its task the longest; the blocks of rows fill the cores evenly."""
     rows = spark.range(9000).select(F.col("id").cast("string").alias("id"))
