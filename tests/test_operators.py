@@ -58,6 +58,42 @@ def test_many_searches_at_once(spark, monkeypatch):
     assert lexical.bm25_top(q, d.where("false"), 5).count() == 0 and lexical.bm25_top(q.where("false"), d, 5).count() == 0
 
 
+def test_overlaps_are_counted_in_the_search(spark, monkeypatch):
+    """Rows as those of a search whose hits are joined to whole contents: repeats, absent words, ties, null and empty texts; no text is sent on."""
+    rng = random.Random(4)
+    some = ["load", "user", "cache", "HTTPName", "v2Token", *[f"rare{i}" for i in range(20)]]
+    docs = [(f"d{i:03d}", "_".join(rng.choices(some, k=rng.randint(0, 9)))) for i in range(200)] + [("e", ""), ("n", None)]
+    asked = [(f"q{i:02d}", " ".join(rng.choices(some, k=rng.randint(1, 5)))) for i in range(40)] + [("x", "load load absent"), ("y", "absent"), ("z", None), ("w", ""), ("v", "load load absent")]
+    d, q = spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(asked, "qid string, text string")
+    whole = lexical.top_k(lexical.bm25_scores(q, d), 20).join(q, "qid").join(d.select("id", F.coalesce("text", F.lit("")).alias("content")), "id")
+    want = {tuple(r) for r in expansion.rerank(whole, expansion.word_overlap, 5).select("qid", "id", "score", "rank").collect()}
+    got = [tuple(r) for r in expansion.best_overlaps(q, d, 20, 5).select("qid", "id", "score", "rank").collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    asked_for, plain = [], queries._chunks
+    monkeypatch.setattr(queries, "_chunks", lambda *a: asked_for.append(a) or plain(*a))
+    assert QUERIES["rerank_overlap_whole"](spark, SF).count() and len(asked_for) == 1
+
+
+def test_many_texts_a_cell_are_searched_by_rows_of_common_words(monkeypatch):
+    """Common words as rows, others as postings, or all as postings: the best of a cell are those of a plain sum."""
+    rng = np.random.default_rng(6)
+    words = ["common", "often", "some", *[f"rare{i}" for i in range(200)]]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30), p=[0.2, 0.1, 0.1, *[0.003] * 200])) for _ in range(3000)]
+    rows = pd.DataFrame({"id": [f"{i:04d}" for i in rng.permutation(3000)], "dl": [len(t.split()) for t in texts], "words": texts})
+    q = pd.DataFrame({"qid": ["a", "b", "c", "d"], "terms": [["common"], ["common", "often", "rare3"], ["rare1", "rare2"], ["absent", "some"]], "idfs": [[0.2], [0.2, 1.1, 3.0], [2.5, 2.4], [9.0, 1.3]]})
+    for cells in (1 << 25, 3000, 0):
+        monkeypatch.setattr(lexical, "COMMON_CELLS", cells)
+        got = lexical._best_of_cell(7, 15.0)(q, rows)
+        for qid, terms, idfs in q.itertuples(index=False):
+            want = []
+            for i, dl, text in rows.itertuples(index=False):
+                tf = [text.split().count(t) for t in terms]
+                s = sum(w * f * (lexical.K1 + 1) / (f + lexical.K1 * (1 - lexical.B + lexical.B * dl / 15.0)) for f, w in zip(tf, idfs, strict=True) if f)
+                want += [(-round(s, 6), i, sum(f > 0 for f in tf))] if s else []
+            mine = got[got["qid"] == qid]
+            assert list(zip(-mine["score"].round(6), mine["id"], mine["held"], strict=True)) == sorted(want)[:7]
+
+
 def test_long_texts_that_share_words_are_no_candidates(spark, monkeypatch):
     """128 bits tell nothing of sets of 400 words; near ones on either side of 512 words are still found."""
     rng, pairs = random.Random(8), []
