@@ -143,6 +143,35 @@ def test_nearest_sends_no_more_than_the_best_of_a_cell(spark, monkeypatch, metri
     assert len(got) == 300 and sent[0].count() == 300
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_of_far_vectors_in_small_parts(spark, monkeypatch, metric):
+    """Distances whose score rounds to 0 keep all vectors in question; products are made and looked through in parts of other sizes."""
+    monkeypatch.setattr(dense, "BLOCK_PRODUCTS", 2000)
+    monkeypatch.setattr(dense, "BLOCK_SCORES", 700)
+    monkeypatch.setattr(dense, "in_blocks", lambda q, x, meet, schema, **_: spark.createDataFrame(meet(q.toPandas(), x.toPandas()), schema))
+    x = np.random.default_rng(6).normal(size=(203, 4)).astype(np.float32)
+    x[::2] *= 1e5
+    v = spark.createDataFrame([(f"{i:03d}", row.tolist()) for i, row in enumerate(x)], "id string, vector array<float>")
+    got = {(r["qid"], r["id"]): r["score"] for r in dense.nearest(v.where("id < '031'").withColumnRenamed("id", "qid"), v, 3, metric=metric).collect()}
+    d = x.astype(np.float64)
+    unit = d / np.linalg.norm(d, axis=1)[:, None]
+    for at in range(31):
+        score = 1 / (1 + ((d - d[at]) ** 2).sum(axis=1)) if metric == "l2" else unit @ unit[at]
+        want = sorted((-s, i) for i, s in enumerate(np.round(score, 6)))[:3]
+        assert [got[f"{at:03d}", f"{i:03d}"] for _, i in want] == [pytest.approx(-s, abs=1e-9) for s, _ in want]
+    assert len(got) == 93
+
+
+def test_boost_asks_only_for_vectors_with_a_text(spark, monkeypatch):
+    """The hits of a vector whose chunk has no symbol are not boosted, so it is not searched for; the texts are made once."""
+    asked, made, nearest, wide = [], [], dense.nearest, queries._wide_queries
+    monkeypatch.setattr(dense, "nearest", lambda q, *a, **kw: asked.append(q) or nearest(q, *a, **kw))
+    monkeypatch.setattr(queries, "_wide_queries", lambda *a: made.append(wide(*a)) or made[-1])
+    assert QUERIES["symbol_boost_wide"](spark, SF).columns == ["qid", "id", "final_score"]
+    vectors, named = ({r["qid"] for r in df.collect()} for df in (queries._wide_vectors(spark, SF), wide(spark, SF)))
+    assert {r["qid"] for r in asked[0].collect()} == vectors & named < vectors and len(made) == 1
+
+
 def test_wide_search_sends_few_rows(spark, tmp_path):
     rows = [(f"{i * 20:016x}", "r/a.py", f"load user name v{i % 7}", 1, 2, "load user name", "function", None, "r") for i in range(400)]
     spark.createDataFrame(rows, "id string, file_path string, content string, start_line int, end_line int, symbol string, symbol_type string, parent string, repo string").write.parquet(f"{tmp_path}/chunks.parquet")
