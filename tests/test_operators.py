@@ -197,6 +197,11 @@ def test_fusion_of_one_sided_hits(spark):
     assert got["v1"]["rrf_score"] == pytest.approx(0.4 / 61, abs=1e-9) and got["v1"]["bm25_score"] == 0.0
 
 
+def test_boosted_scores_are_rounded_as_in_sql(spark):
+    hits = spark.createDataFrame([("load", "load", None, 0.007352941)], "text string, symbol string, symbol_type string, rrf_score double")
+    assert [r["final_score"] for r in fusion.symbol_boost(hits).collect()] == [0.011029412]
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([("s", "q", x, i + 1) for i, x in enumerate("abc")], "strategy string, qid string, id string, rank int")
     judge = spark.createDataFrame([("q", "A"), ("q", "c"), ("p", "z")], "qid string, id string")
