@@ -212,6 +212,26 @@ def test_metrics(spark):
     assert (got["p"]["recall_10"], got["p"]["rr"], got["p"]["ndcg_5"]) == (0.0, 0.0, 0.0)
 
 
+def test_symbol_metrics_equal_those_of_pairs(spark):
+    """Ids that differ in case, or have two symbols, queries without a chunk and hits without a query."""
+    named = spark.createDataFrame([("a", "x"), ("A", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", None), ("e", "z")], "id string, text string")
+    asked = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("e", "z"), ("n", "none")], "qid string, text string")
+    hits = spark.createDataFrame([("s", q, i, n + 1) for q in "abcnu" for n, i in enumerate(["B", "d", "a", "A", "gone", "c"])], "strategy string, qid string, id string, rank int")
+    want = evaluation.query_metrics(hits, asked.join(named, "text").select("qid", "id"), ["s", "t"])
+    got = evaluation.symbol_metrics(hits, asked, named, ["s", "t"])
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() == 8
+
+
+@pytest.mark.parametrize("name", ["strategy_benchmark_all", "best_strategy_all"])
+def test_benchmark_makes_no_pairs_of_query_and_chunk(spark, monkeypatch, tmp_path, name):
+    """1,000 chunks of one symbol, all asked for, are a million pairs, far more bytes than all else."""
+    rows = [(f"{i * 20:016x}", "r/a.py", f"init {i}", i, i + 1, "init", "function", None, "r") for i in range(1000)]
+    spark.createDataFrame(rows, "id string, file_path string, content string, start_line int, end_line int, symbol string, symbol_type string, parent string, repo string").write.parquet(f"{tmp_path}/chunks.parquet")
+    few = spark.createDataFrame([(s, f"{20:016x}", f"{20:016x}", 1) for s in queries.STRATEGIES], "strategy string, qid string, id string, rank int")
+    monkeypatch.setattr(queries, "_strategies", lambda *_, **__: few)
+    assert _shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect()) < 1_000_000
+
+
 def test_compaction(spark):
     rows = [("c", 0, "system", "s" * 40, None)] + [("c", 1 + 2 * i + j, t, t + str(i) * 60, None) for i in range(15) for j, t in enumerate(("user", "assistant"))]
     m = spark.createDataFrame(rows, "conv_id string, turn int, type string, content string, tool_calls array<struct<id string, name string, arguments string>>")
