@@ -232,6 +232,22 @@ def test_benchmark_makes_no_pairs_of_query_and_chunk(spark, monkeypatch, tmp_pat
     assert _shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect()) < 1_000_000
 
 
+def test_best_strategy_asks_with_every_symbol(spark, monkeypatch):
+    """The means that choose the best strategy are those of all chunks with a symbol, not of one in twenty."""
+    seen, plain = [], evaluation.best_strategy
+    monkeypatch.setattr(evaluation, "best_strategy", lambda m: seen.append(m) or plain(m))
+    QUERIES["best_strategy_all"](spark, SF)
+    assert {r["n_queries"] for r in seen[0].collect()} == {queries._chunks(spark, SF).where("symbol <> ''").select("id").distinct().count()}
+
+
+def test_more_blocks_of_queries_need_fewer_of_rows(spark):
+    """Every block of rows sends its own hits of a query: where the blocks of queries fill the cores, rows are not split for them."""
+    rows = spark.range(9000).select(F.col("id").cast("string").alias("id"))
+    asked = spark.range(80).select(F.col("id").cast("string").alias("qid"))
+    got = blocks.in_blocks(asked, rows, lambda q, r: pd.DataFrame({"nq": [len(q)], "nr": [len(r)]}), "nq long, nr long", query_rows=20, rows_a_block=9000).collect()
+    assert len(got) == 4 and {r["nr"] for r in got} == {9000} and sum(r["nq"] for r in got) == 80
+
+
 def test_compaction(spark):
     rows = [("c", 0, "system", "s" * 40, None)] + [("c", 1 + 2 * i + j, t, t + str(i) * 60, None) for i in range(15) for j, t in enumerate(("user", "assistant"))]
     m = spark.createDataFrame(rows, "conv_id string, turn int, type string, content string, tool_calls array<struct<id string, name string, arguments string>>")
